@@ -42,10 +42,10 @@ def salted_aggregate(long: DataFrame, salts: int = SALTS) -> DataFrame:
     return by_salt.groupBy("campo", "valor").agg(F.sum("_n").alias("linhas"), F.sum("_d").alias("empresas"))
 
 
-def with_share(figures: DataFrame) -> DataFrame:
+def with_share(figures: DataFrame, long: DataFrame) -> DataFrame:
     """Adds parte, a value's part of all rows of its table (nulls and empties counted in the whole)."""
-    total = figures.groupBy("campo").agg(F.sum("linhas").alias("_total"))
-    return figures.join(total, "campo").withColumn("parte", F.col("linhas") / F.col("_total"))
+    total = long.groupBy("campo").agg(F.count(F.lit(1)).alias("_total"))  # one row a field
+    return figures.join(F.broadcast(total), "campo").withColumn("parte", F.col("linhas") / F.col("_total"))
 
 
 def present() -> Column:
@@ -59,5 +59,5 @@ def heavy_values(tables: list[DataFrame], share: float = 0.01, salts: int = SALT
     Null and empty values are never named. Ties at the threshold are named.
     """
     long = reduce(DataFrame.unionByName, tables)
-    shared = with_share(salted_aggregate(long, salts))
+    shared = with_share(salted_aggregate(long, salts), long)
     return shared.filter(present() & (F.col("linhas") >= F.lit(share) * F.col("_total"))).drop("_total")
