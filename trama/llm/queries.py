@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trama.llm import components
+from trama.llm import bpe, components, mixing
 from trama.session import table
 
 
@@ -17,7 +17,23 @@ def p2_sizes(spark: SparkSession, d: str) -> DataFrame:
     return p2_found(spark, d).groupBy("grupo").agg(F.count(F.lit(1)).alias("entidades"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_sizes)}
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return bpe.encode(table(spark, d, "documents"))
+
+
+def p9_uses(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.select(table(spark, d, "documents"), table(spark, d, "mistura"))[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.select(table(spark, d, "documents"), table(spark, d, "mistura"))[1]
+
+
+def p9_shares_all(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.select(table(spark, d, "documents"), table(spark, d, "mistura"), total_of="all")[1]
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_sizes, p8_ids, p9_uses, p9_shares, p9_shares_all)}
 
 _GROUPS = """
 WITH RECURSIVE ok AS (SELECT origem AS a, destino AS b FROM aresta WHERE origem <> '' AND destino <> ''),
