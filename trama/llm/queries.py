@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trama.llm import bpe, components, mixing
+from trama.llm import addresses, bpe, components, encoding, mixing
 from trama.session import table
 
 
@@ -17,6 +17,36 @@ def p2_sizes(spark: SparkSession, d: str) -> DataFrame:
     return p2_found(spark, d).groupBy("grupo").agg(F.count(F.lit(1)).alias("entidades"))
 
 
+def _garbled(spark: SparkSession, d: str) -> DataFrame:
+    firms, places = table(spark, d, "empresa"), table(spark, d, "estabelecimento")
+    triples = encoding.model([firms, places], [["razao_social"], ["nome_fantasia", "logradouro"]])
+    parts = [encoding.find(f.withColumn("id", F.col(key)), triples, ["id"], c).select(F.lit(name).alias("tabela"), "id", F.lit(c).alias("campo"), "texto", "restaurado", "restavel") for f, name, key, c in ((firms, "empresa", "cnpj_basico", "razao_social"), (places, "estabelecimento", "cnpj", "nome_fantasia"), (places, "estabelecimento", "cnpj", "logradouro"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _garbled(spark, d).select("tabela", "id", "campo").distinct()
+
+
+def p3_restored(spark: SparkSession, d: str) -> DataFrame:
+    return _garbled(spark, d).distinct()
+
+
+def _same_place(spark: SparkSession, d: str) -> DataFrame:
+    places = table(spark, d, "estabelecimento")
+    triples = encoding.model([places], [["logradouro"]])
+    shared = spark.sparkContext.broadcast(triples)
+    return addresses.same_place(places, repair=lambda: encoding.repairer(shared))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _same_place(spark, d).select("cnpj_a", "cnpj_b")
+
+
+def p4_weights(spark: SparkSession, d: str) -> DataFrame:
+    return _same_place(spark, d)
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode(table(spark, d, "documents"))
 
@@ -33,7 +63,7 @@ def p9_shares_all(spark: SparkSession, d: str) -> DataFrame:
     return mixing.select(table(spark, d, "documents"), table(spark, d, "mistura"), total_of="all")[1]
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_sizes, p8_ids, p9_uses, p9_shares, p9_shares_all)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_sizes, p3_found, p3_restored, p4_found, p4_weights, p8_ids, p9_uses, p9_shares, p9_shares_all)}
 
 _GROUPS = """
 WITH RECURSIVE ok AS (SELECT origem AS a, destino AS b FROM aresta WHERE origem <> '' AND destino <> ''),
