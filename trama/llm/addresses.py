@@ -101,11 +101,18 @@ _NUMBER = re.compile(r"(?:#\s*|(?<![A-Z])N\s*\.?\s*(?:O|RO)?\s*[.:]?\s*)?(?<![A-
 _WORD = re.compile(r"[A-Z?]+")
 
 
-@lru_cache(maxsize=200_000)
+_PLAIN = {ord(c): unicodedata.normalize("NFKD", c)[0].upper() for c in "áàâãäçéèêëíìîïñóòôõöúùûüÁÀÂÃÄÇÉÈÊËÍÌÎÏÑÓÒÔÕÖÚÙÛÜªº"} | {ord("°"): "O"}
+
+
 def fold(text: str) -> str:
     """Upper case without accents; signs outside ASCII that don't decompose become "?" inside words, nothing at their ends."""
-    t = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).upper()
-    t = re.sub(r"[^\x00-\x7f]+", "?", t.replace("°", "O"))
+    if text.isascii():
+        return text.upper()
+    t = text.translate(_PLAIN).upper()
+    if t.isascii():
+        return t
+    t = "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)).upper()
+    t = re.sub(r"[^\x00-\x7f]+", "?", t)
     return re.sub(r"\?+(?![A-Z])|(?<![A-Z])\?+", "", t)
 
 
@@ -141,6 +148,7 @@ def parse_street(text: str | None) -> tuple[str, str, str]:
     return number, kind, " ".join(w for w in words if w not in _LINKING)
 
 
+@lru_cache(maxsize=200_000)
 def parse_district(text: str | None) -> str:
     words = _WORD.findall(fold(text or ""))
     if " ".join(words) in _NO_DISTRICT:
@@ -159,20 +167,25 @@ def parse_postcode(text: str | None) -> str:
 _SAME_SOUND = str.maketrans({"Z": "S", "X": "S", "K": "C", "Q": "C", "Y": "I", "W": "V", "H": None, "?": None})
 
 
+@lru_cache(maxsize=200_000)
+def _sound(word: str) -> tuple[str, ...]:
+    s = re.sub(r"(.)\1+", r"\1", word.translate(_SAME_SOUND))
+    c = s[:1] + re.sub(r"[AEIOU]", "", s[1:])
+    return "<" + c[:3], ">" + c[-3:]
+
+
 def sounds(words: str) -> set[str]:
-    """Keys of the sound of a street: of each longer word the first and the last consonants.
+    """Keys of a street: the first and last consonants of its last word, the first of the word before,
+    and the beginnings of its first and last word together.
 
-    One slip of the pen spoils at most one of the two keys of one word.
+    One slip of the pen spoils at most one of the two keys of the last word.
     """
-    out = set()
-    parts = words.split()
-    for i, w in enumerate(parts):
-        if len(w) < 3 or (i == 0 and w in TITLES and len(parts) > 1):
-            continue
-        s = re.sub(r"(.)\1+", r"\1", w.translate(_SAME_SOUND))
-        c = s[:1] + re.sub(r"[AEIOU]", "", s[1:])
-        out.add("<" + c[:3])
-        out.add(">" + c[-3:])
+    w = words.split()
+    out = {f"~{w[0][:3]}{w[-1][:1]}"} if len(w) > 1 else set()
+    if w and len(w[-1]) > 2:
+        out.update(_sound(w[-1]))
+    if len(w) > 1 and len(w[-2]) > 2:
+        out.add(_sound(w[-2])[0])
     return out
 
 
@@ -213,6 +226,10 @@ def street_level(a: str, b: str) -> int:
     x, y = a.split(), b.split()
     if not x or not y:
         return 0
+    if len(x) == len(y):
+        same = [likeness(v, w) for v, w in zip(x, y)]
+        if all(same) and any(len(v) > 2 and len(w) > 2 for v, w in zip(x, y)):
+            return 2
     # best alignment in order; the first of three words is a title or a common word, which tells little
     score = [[(0.0, 0, 0)] * (len(y) + 1) for _ in range(len(x) + 1)]
     for i, v in enumerate(x, 1):
@@ -235,23 +252,24 @@ def street_level(a: str, b: str) -> int:
 
 
 def parsed(establishments: DataFrame, repair=None) -> DataFrame:
-    """(cnpj, town, number, kind, words, district, postcode, keys) of every establishment with a town and an address."""
+    """(cnpj, town, number, kind, words, district, postcode, keys) of every row with a cnpj, a town and an address."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fix = repair() if repair else None
+        town = lru_cache(maxsize=100_000)(lambda u, m: fold(f"{u}|{m}".strip()))
         for f in frames:
             logr = f.logradouro
             if fix is not None:
-                logr = logr.map(lambda s: s if s is None or s.isascii() else fix(s))
+                logr = [s if s.isascii() else fix(s) for s in logr]
             street = [parse_street(s) for s in logr]
-            out = pd.DataFrame({"cnpj": f.cnpj, "town": [fold(f"{u}|{m}").strip() for u, m in zip(f.uf, f.municipio)]})
+            out = pd.DataFrame({"cnpj": f.cnpj, "town": [town(u, m) for u, m in zip(f.uf, f.municipio)]})
             out["number"], out["kind"], out["words"] = zip(*street) if street else ((), (), ())
             out["district"] = [parse_district(s) for s in f.bairro]
             out["postcode"] = [parse_postcode(s) for s in f.cep]
-            out["keys"] = [sorted(sounds(w) | ({"=" + c} if c and not c.endswith("000") else set())) for w, c in zip(out["words"], out["postcode"])]
+            out["keys"] = [[*sounds(w), "=" + c] if c and not c.endswith("000") else list(sounds(w)) for w, c in zip(out["words"], out["postcode"])]
             yield out
 
-    rows = establishments.filter("cnpj is not null and uf is not null and municipio is not null and logradouro <> ''").select("cnpj", "uf", "municipio", "bairro", "logradouro", "cep").distinct()
+    rows = establishments.filter("cnpj is not null and uf is not null and municipio is not null and logradouro <> ''").select("cnpj", "uf", "municipio", "bairro", "logradouro", "cep")
     return rows.mapInPandas(run, "cnpj string, town string, number string, kind string, words string, district string, postcode string, keys array<string>")
 
 
@@ -317,16 +335,18 @@ def estimate(patterns: pd.DataFrame, rounds: int = ROUNDS) -> tuple[float, dict,
     return p, m, u, post
 
 
-def candidates(addresses: DataFrame) -> DataFrame:
-    """Pairs of addresses (a < b) of one town and number that share a postal code or a sound, each once."""
-    cols = ("words", "kind", "district", "postcode")
-    keyed = addresses.filter("number <> '' and words <> ''").select("town", "number", "aid", F.explode("keys").alias("key"))
-    left = keyed.select("town", "number", "key", F.col("aid").alias("a"))
-    right = keyed.select("town", "number", "key", F.col("aid").alias("b"))
-    ids = left.join(right, ["town", "number", "key"]).filter("a < b").select("town", "number", "a", "b").distinct()
-    one = addresses.select("town", "number", F.col("aid").alias("a"), *[F.col(c).alias(f"{c}_a") for c in cols])
-    two = addresses.select("town", "number", F.col("aid").alias("b"), *[F.col(c).alias(f"{c}_b") for c in cols])
-    return ids.join(one, ["town", "number", "a"]).join(two, ["town", "number", "b"])
+def candidates(rows: DataFrame, addresses: DataFrame) -> DataFrame:
+    """Pairs of addresses (a < b) of one town and number that share a postal code or a sound, each once.
+
+    A block is named by a hash of town, number and key, which keeps what is
+    shuffled small; a pair thrown together by equal hashes is dropped by place.
+    """
+    cols = ("place", "words", "kind", "district", "postcode")
+    keyed = rows.select(F.explode("keys").alias("k"), "town", "number", "aid").select(F.xxhash64("town", "number", "k").alias("key"), "aid").distinct()
+    ids = keyed.withColumnRenamed("aid", "a").join(keyed.withColumnRenamed("aid", "b"), "key").filter("a < b").select("a", "b").distinct()
+    one = addresses.select(F.col("aid").alias("a"), *[F.col(c).alias(f"{c}_a") for c in cols])
+    two = addresses.select(F.col("aid").alias("b"), *[F.col(c).alias(f"{c}_b") for c in cols])
+    return ids.join(one, "a").join(two, "b").filter("place_a = place_b")
 
 
 def same_place(establishments: DataFrame, repair=None, threshold: float = THRESHOLD) -> DataFrame:
@@ -334,20 +354,20 @@ def same_place(establishments: DataFrame, repair=None, threshold: float = THRESH
 
     Rows without cnpj, town or address, or with neither a number nor the mark
     "without number", are at no known place. Repeated rows count once. Addresses
-    that parse alike have weight 1. An empty table gives no rows.
+    with the same town, number, street type and words are one address (of their
+    districts and postal codes the greatest stands for all) and have weight 1.
+    An empty table gives no rows.
     """
     spark = establishments.sparkSession
     work = Work(spark, "addresses")
-    parts = ["town", "number", "kind", "words", "district", "postcode"]
-    rows = parsed(establishments, repair).withColumn("aid", F.xxhash64(*parts))
-    rows = work.save(rows, "parsed")
-    addresses = rows.filter("number <> '' and words <> ''").groupBy(*parts, "aid").agg(F.first("keys").alias("keys"))
-    compared = work.save(_levels(candidates(addresses)), "compared")
+    rows = parsed(establishments, repair).filter("number <> '' and words <> ''")
+    rows = work.save(rows.withColumn("aid", F.xxhash64("town", "number", "kind", "words")), "parsed")
+    addresses = rows.groupBy("aid").agg(F.xxhash64(F.first("town"), F.first("number")).alias("place"), F.first("words").alias("words"), F.first("kind").alias("kind"), F.max("district").alias("district"), F.max("postcode").alias("postcode"))
+    compared = work.save(_levels(candidates(rows, addresses)), "compared")
     # at most 4 x 3 x 3 x 4 patterns
     patterns = compared.groupBy(*FIELDS).agg(F.count(F.lit(1)).alias("n")).toPandas()
-    members = rows.filter("number <> '' and words <> ''").select("town", "number", "aid", "cnpj")
-    one, two = members.withColumnRenamed("cnpj", "x").withColumnRenamed("aid", "a"), members.withColumnRenamed("cnpj", "y").withColumnRenamed("aid", "b")
-    equal = one.join(two.withColumnRenamed("b", "a"), ["town", "number", "a"]).filter("x < y").select("x", "y", F.lit(1.0).alias("w"))
+    members = rows.select("aid", "cnpj").distinct()
+    equal = members.withColumnRenamed("cnpj", "x").join(members.withColumnRenamed("cnpj", "y"), "aid").filter("x < y").select("x", "y", F.lit(1.0).alias("w"))
     found = equal
     if len(patterns):
         _, _, _, post = estimate(patterns)
