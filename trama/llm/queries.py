@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trama.llm import addresses, bpe, components, encoding, mixing
-from trama.session import table
+from trama.llm import addresses, bpe, components, encoding, language, mixing
+from trama.session import Work, table
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -63,7 +63,24 @@ def p9_shares_all(spark: SparkSession, d: str) -> DataFrame:
     return mixing.select(table(spark, d, "documents"), table(spark, d, "mistura"), total_of="all")[1]
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_sizes, p3_found, p3_restored, p4_found, p4_weights, p8_ids, p9_uses, p9_shares, p9_shares_all)}
+def _segments(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return Work(spark, "language").save(language.sentences(docs, language.model(docs)), "segments")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return language.wrong_or_mixed(_segments(spark, d)).select("doc_id", "par", "lang")
+
+
+def p10_documents(spark: SparkSession, d: str) -> DataFrame:
+    return language.documents_language(_segments(spark, d))
+
+
+def p10_segments(spark: SparkSession, d: str) -> DataFrame:
+    return _segments(spark, d).select("doc_id", "par", "lang", "palavras", language.confidence(F.col("bits")).alias("confianca"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_sizes, p3_found, p3_restored, p4_found, p4_weights, p8_ids, p9_uses, p9_shares, p9_shares_all, p10_found, p10_documents, p10_segments)}
 
 _GROUPS = """
 WITH RECURSIVE ok AS (SELECT origem AS a, destino AS b FROM aresta WHERE origem <> '' AND destino <> ''),
