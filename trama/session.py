@@ -88,6 +88,7 @@ class Work:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+        atexit.register(self.clear)
         self._n = 0
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
@@ -98,10 +99,19 @@ class Work:
         out._trama_path = path
         return out
 
+    def clear(self) -> None:
+        """Removes all tables of the run, at the latest as the driver ends."""
+        try:
+            self._delete(self.root)
+        except Exception:  # the JVM may have ended before
+            pass
+
     def drop(self, df: DataFrame | None) -> None:
         path = getattr(df, "_trama_path", None)
-        if path is None:
-            return
+        if path is not None:
+            self._delete(path)
+
+    def _delete(self, path: str) -> None:
         jvm = self.spark._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
