@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trama.llm import addresses, bpe, components, encoding, language, mixing
+from trama.llm import addresses, bpe, components, encoding, language, linkage, mixing
 from trama.session import Work, table
 
 
+def p1_matches(spark: SparkSession, d: str) -> DataFrame:
+    return linkage.matches(linkage.link(*[table(spark, d, n) for n in ("registro", "chave", "estabelecimento", "empresa")]))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1_matches(spark, d).select("registro_id", "cnpj")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return components.group_ids(table(spark, d, "aresta"))
 
@@ -80,7 +88,7 @@ def p10_segments(spark: SparkSession, d: str) -> DataFrame:
     return _segments(spark, d).select("doc_id", "par", "lang", "palavras", language.confidence(F.col("bits")).alias("confianca"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_sizes, p3_found, p3_restored, p4_found, p4_weights, p8_ids, p9_uses, p9_shares, p9_shares_all, p10_found, p10_documents, p10_segments)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_matches, p2_found, p2_sizes, p3_found, p3_restored, p4_found, p4_weights, p8_ids, p9_uses, p9_shares, p9_shares_all, p10_found, p10_documents, p10_segments)}
 
 _GROUPS = """
 WITH RECURSIVE ok AS (SELECT origem AS a, destino AS b FROM aresta WHERE origem <> '' AND destino <> ''),
