@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def modules() -> list:
-    from trama.plans import general
+    from trama.plans import general, identifiers
 
-    return [general]
+    return [general, identifiers]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
