@@ -148,7 +148,7 @@ def parse_street(text: str | None) -> tuple[str, str, str]:
     return number, kind, " ".join(w for w in words if w not in _LINKING)
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=50_000)
 def parse_district(text: str | None) -> str:
     words = _WORD.findall(fold(text or ""))
     if " ".join(words) in _NO_DISTRICT:
@@ -167,7 +167,7 @@ def parse_postcode(text: str | None) -> str:
 _SAME_SOUND = str.maketrans({"Z": "S", "X": "S", "K": "C", "Q": "C", "Y": "I", "W": "V", "H": None, "?": None})
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=50_000)
 def _sound(word: str) -> tuple[str, ...]:
     s = re.sub(r"(.)\1+", r"\1", word.translate(_SAME_SOUND))
     c = s[:1] + re.sub(r"[AEIOU]", "", s[1:])
@@ -205,7 +205,7 @@ def _distance(a: str, b: str, most: int) -> int:
     return prev[-1]
 
 
-@lru_cache(maxsize=500_000)
+@lru_cache(maxsize=50_000)
 def likeness(a: str, b: str) -> float:
     """1 equal, 0.9 or 0.8 a slip or two, 0.6 an initial of the other, else 0."""
     if a == b:
@@ -277,7 +277,7 @@ def _levels(pairs: DataFrame) -> DataFrame:
     """Adds the agreement levels street, kind, district, postcode (missing is -1) and pattern."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        level = lru_cache(maxsize=200_000)(street_level)
+        level = lru_cache(maxsize=50_000)(street_level)
         for f in frames:
             yield pd.DataFrame({"a": f.a, "b": f.b, "l_street": [level(x, y) for x, y in zip(f.words_a, f.words_b)], "l_district": [_district_level(x, y) for x, y in zip(f.district_a, f.district_b)], "l_kind": f.l_kind, "l_postcode": f.l_postcode})
 
