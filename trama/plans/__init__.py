@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def modules() -> list:
-    from trama.plans import general, identifiers
+    from trama.plans import general, identifiers, network, registry
 
-    return [general, identifiers]
+    return [general, identifiers, registry, network]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
