@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def modules() -> list:
-    from trama.plans import general, identifiers, network, registry
+    from trama.plans import evaluate, general, identifiers, network, registry
 
-    return [general, identifiers, registry, network]
+    return [general, identifiers, registry, network, evaluate]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
