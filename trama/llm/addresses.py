@@ -190,19 +190,42 @@ def sounds(words: str) -> set[str]:
 
 
 def _distance(a: str, b: str, most: int) -> int:
-    """Edits with exchange of neighbours, up to most + 1."""
+    """Edits with exchange of neighbours, up to most + 1: equal ends are cut off, only a band is filled, and a row
+    beyond most ends it."""
     if abs(len(a) - len(b)) > most:
         return most + 1
-    old, prev = [], list(range(len(b) + 1))
+    n = 0
+    for x, y in zip(a, b):
+        if x != y:
+            break
+        n += 1
+    a, b = a[n:], b[n:]
+    while a and b and a[-1] == b[-1]:
+        a, b = a[:-1], b[:-1]
+    if not a or not b:
+        return len(a) or len(b)
+    far, width = most + 1, len(b)
+    old, prev = [], list(range(width + 1))
     for i, x in enumerate(a, 1):
-        row = [i]
-        for j, y in enumerate(b, 1):
-            d = min(prev[j] + 1, row[-1] + 1, prev[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                d = min(d, old[j - 2] + 1)
-            row.append(d)
+        low, high = max(1, i - most), min(width, i + most)
+        row = [far] * (width + 1)
+        row[0] = i
+        best = i
+        for j in range(low, high + 1):
+            d = prev[j - 1] if x == b[j - 1] else prev[j - 1] + 1
+            if prev[j] < d:
+                d = prev[j] + 1 if prev[j] + 1 < d else d
+            if row[j - 1] + 1 < d:
+                d = row[j - 1] + 1
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == b[j - 1] and old[j - 2] + 1 < d:
+                d = old[j - 2] + 1
+            row[j] = d
+            if d < best:
+                best = d
+        if best > most and min(prev) > most - 1:
+            return far
         old, prev = prev, row
-    return prev[-1]
+    return min(prev[-1], far)
 
 
 @lru_cache(maxsize=50_000)
