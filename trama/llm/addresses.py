@@ -6,7 +6,7 @@ number") and a postal code or the sound of a part of a street word. Pairs are
 compared component by component into agreement levels, with a level of its own
 for a missing value; the weights of the levels are estimated by
 expectation-maximization over the counts of the level patterns (Fellegi and
-Sunter's model), and pairs whose posterior reaches THRESHOLD are links.
+Sunter's model), and pairs whose posterior reaches THRESHOLD and whose streets have a word in common are links.
 
 Spellings that parse alike are one address from the start, so many firms at one
 door are compared once; only the result lists pairs of establishments.
@@ -332,6 +332,15 @@ def _district_level(a: str, b: str) -> int:
 
 
 FIELDS = ("l_street", "l_kind", "l_district", "l_postcode")
+#: What is taken of matches and of others before any pair is seen, worth PRIOR_PAIRS pairs of each: it speaks only
+#: where there are few pairs.
+PRIOR_PAIRS = 10
+PRIOR = {
+    "l_street": ({3: 0.45, 2: 0.45, 1: 0.05, 0: 0.05}, {3: 0.05, 2: 0.05, 1: 0.3, 0: 0.6}),
+    "l_kind": ({1: 0.75, -1: 0.2, 0: 0.05}, {1: 0.4, -1: 0.1, 0: 0.5}),
+    "l_district": ({1: 0.6, -1: 0.35, 0: 0.05}, {1: 0.2, -1: 0.2, 0: 0.6}),
+    "l_postcode": ({2: 0.5, 1: 0.3, -1: 0.15, 0: 0.05}, {2: 0.2, 1: 0.3, -1: 0.1, 0: 0.4}),
+}
 
 
 def estimate(patterns: pd.DataFrame, rounds: int = ROUNDS) -> tuple[float, dict, dict, np.ndarray]:
@@ -345,13 +354,14 @@ def estimate(patterns: pd.DataFrame, rounds: int = ROUNDS) -> tuple[float, dict,
     post = np.clip((patterns.l_street >= 2).to_numpy(float) * 0.9 + 0.05, 0.05, 0.95)
     p, m, u = 0.5, {}, {}
     for _ in range(rounds):
-        p = float((post * n).sum() / n.sum())
+        p = float(((post * n).sum() + PRIOR_PAIRS) / (n.sum() + 2 * PRIOR_PAIRS))
         lm, lu = np.log(max(p, 1e-9)) * np.ones(len(n)), np.log(max(1 - p, 1e-9)) * np.ones(len(n))
         for f in FIELDS:
             for v in patterns[f].unique():
                 at = (patterns[f] == v).to_numpy()
-                m[f, v] = ((post * n)[at].sum() + 0.5) / ((post * n).sum() + 2)
-                u[f, v] = (((1 - post) * n)[at].sum() + 0.5) / (((1 - post) * n).sum() + 2)
+                pm, pu = PRIOR[f][0][int(v)], PRIOR[f][1][int(v)]
+                m[f, v] = ((post * n)[at].sum() + PRIOR_PAIRS * pm) / ((post * n).sum() + PRIOR_PAIRS)
+                u[f, v] = (((1 - post) * n)[at].sum() + PRIOR_PAIRS * pu) / (((1 - post) * n).sum() + PRIOR_PAIRS)
                 lm[at] += np.log(m[f, v])
                 lu[at] += np.log(u[f, v])
         post = 1 / (1 + np.exp(np.clip(lu - lm, -500, 500)))
@@ -395,7 +405,7 @@ def same_place(establishments: DataFrame, repair=None, threshold: float = THRESH
     if len(patterns):
         _, _, _, post = estimate(patterns)
         table = patterns.drop(columns="n").astype(int).assign(w=post)
-        weights = spark.createDataFrame(table, ", ".join(f"{f} int" for f in FIELDS) + ", w double").filter(F.col("w") >= threshold)
+        weights = spark.createDataFrame(table, ", ".join(f"{f} int" for f in FIELDS) + ", w double").filter((F.col("w") >= threshold) & (F.col("l_street") > 0))
         links = compared.join(F.broadcast(weights), list(FIELDS)).select("a", "b", "w")
         linked = links.join(members.select(F.col("aid").alias("a"), F.col("cnpj").alias("x")), "a").join(members.select(F.col("aid").alias("b"), F.col("cnpj").alias("y")), "b")
         found = equal.unionByName(linked.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "w").filter("x <> y"))
