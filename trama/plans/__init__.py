@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def modules() -> list:
-    from trama.plans import evaluate, general, identifiers, network, registry
+    from trama.plans import evaluate, expand, general, identifiers, network, registry
 
-    return [general, identifiers, registry, network, evaluate]
+    return [general, identifiers, registry, network, expand, evaluate]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from trama.plans import general
+    from trama.plans import expand
 
-    return general.p7_found(spark, sf_dir)
+    return expand.x_edges(spark, sf_dir)
