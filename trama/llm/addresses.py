@@ -236,10 +236,12 @@ def likeness(a: str, b: str) -> float:
     if len(a) == 1 or len(b) == 1:
         return 0.6 if a[0] == b[0] else 0.0
     short = min(len(a), len(b))
-    if short < 3 or len(set(a) ^ set(b)) > 6:  # each edit changes at most two of the letters that occur
+    most = 3 if short >= 9 else 2 if short >= 5 else 1
+    # each edit changes at most two of the letters that occur
+    if short < 3 or abs(len(a) - len(b)) > most or len(set(a) ^ set(b)) > 2 * most:
         return 0.0
-    d = _distance(a, b, 3)
-    return 0.9 if d == 1 else 0.8 if d == 2 and short >= 5 else 0.7 if d == 3 and short >= 9 else 0.0
+    d = _distance(a, b, most)
+    return 0.0 if d > most else (1.0, 0.9, 0.8, 0.7)[d]
 
 
 def street_level(a: str, b: str) -> int:
