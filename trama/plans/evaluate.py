@@ -90,7 +90,19 @@ def s_sliding(spark: SparkSession, d: str) -> DataFrame:
     return windowed_counts(table(spark, d, "events"), "ts", ["event_type"], "2 hours", "2 hours", "1 hour")
 
 
-QUERIES = {f.__name__: f for f in (v_heuristics, v_best, v_spread, v_pruned, v_reliability, v_calibration_error, v_isotonic, v_content_hash, s_sessions, s_windows, s_sliding)}
+def v_worlds(spark: SparkSession, d: str) -> DataFrame:
+    """Mean and spread of the heuristics over ten synthetic worlds of fifteen groups with traps; reads no table."""
+    from trama.operators import prediction
+    from trama.session import Work, ship
+    from trama.sources import synthetic
+
+    ship(spark)
+    registry, truth = synthetic.tables(spark, [synthetic.world(seed, 15) for seed in range(10)])
+    edges = Work(spark, "worlds").save(prediction.run(registry, truth), "edges")
+    return evaluation.mean_and_spread(prediction.evaluate(edges, truth), ["heuristica"], ["precisao", "revocacao", "f1"])
+
+
+QUERIES = {f.__name__: f for f in (v_heuristics, v_best, v_spread, v_pruned, v_reliability, v_calibration_error, v_isotonic, v_content_hash, v_worlds, s_sessions, s_windows, s_sliding)}
 
 _KEYS = """h AS (SELECT 'email-exato' AS heuristica, cnpj, uf, lower(email) AS previsto, cnpj_basico AS r FROM e
   UNION ALL SELECT 'dominio-email', cnpj, uf, CASE WHEN email LIKE '%@%' THEN lower(string_split(email, '@')[-1]) END, cnpj_basico FROM e
