@@ -36,6 +36,7 @@ def build(cpus: int | str = "*", shuffle_partitions: int = 8, **conf: str) -> Sp
     return spark
 
 
+_HASH_JOIN = "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold"
 _shipped: set[str] = set()
 
 
@@ -52,6 +53,10 @@ def ship(spark: SparkSession) -> None:
         for f in sorted(package.rglob("*.py")):
             z.write(f, f.relative_to(package.parent))
     sc.addPyFile(str(to))
+    # a join whose shuffled partitions all turn out to be small is done by hash, without sorting; the size is checked
+    # at run time, and larger ones keep the sort-merge join
+    if spark.conf.get(_HASH_JOIN, "0b") in ("0", "0b"):
+        spark.conf.set(_HASH_JOIN, "32m")
     _shipped.add(sc.applicationId)
 
 
