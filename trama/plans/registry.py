@@ -100,7 +100,7 @@ def _blocks(e: DataFrame) -> DataFrame:
 def r_ranges(spark: SparkSession, d: str) -> DataFrame:
     """The carrier of every telephone by the range that holds it."""
     e = latest(spark, d)
-    p = tables.phone_rows(e).select("phone").distinct().select("phone", F.substring("phone", 4, 2).alias("ddd"), F.col("phone").substr(F.lit(6), F.lit(20)).cast("bigint").alias("n"))
+    p = tables.phone_rows(e).select("phone").distinct().select("phone", F.substring("phone", 4, 2).alias("ddd"), F.col("phone").substr(F.lit(6), F.lit(20)).try_cast("bigint").alias("n"))
     return tables.range_join(p, _blocks(e), "ddd", "n", "inicio", "fim").select("phone", "inicio", "fim", "prestadora")
 
 

@@ -99,7 +99,7 @@ class Work:
     def save(self, df: DataFrame, name: str) -> DataFrame:
         self._n += 1
         path = f"{self.root}/{self._n:03d}-{name}"
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "snappy").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._trama_path = path
         return out
