@@ -71,3 +71,30 @@ def test_stream_upsert_and_distinct(spark, tmp_path):
     q = streams.distinct_within(s, ["k"], "ts", "10 minutes").writeStream.format("memory").queryName("d").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("d").count() == 2
+
+
+def test_index_export_and_import(spark, tmp_path):
+    import pytest
+
+    from trama.sources import index, synthetic
+
+    reg, _ = synthetic.tables(spark, [synthetic.world(1, 5)])
+    tables = {"estabelecimento": reg.establishments, "empresa": reg.companies, "socio": reg.partners}
+    state = reg.establishments.first()["uf"]
+    m = index.export(spark, tables, str(tmp_path / "x"), state)
+    got = index.load(spark, str(tmp_path / "x"))
+    assert got["estabelecimento"].count() == m["tabelas"]["estabelecimento"]["linhas"] == reg.establishments.filter(f"uf = '{state}'").count()
+    assert got["empresa"].select("cnpj_basico").subtract(got["estabelecimento"].select("cnpj_basico")).count() == 0
+    piece = next((tmp_path / "x/socio").glob("*.parquet"))
+    piece.write_bytes(piece.read_bytes() + b"x")
+    (tmp_path / "x/socio" / f".{piece.name}.crc").unlink(missing_ok=True)
+    with pytest.raises(ValueError):
+        index.load(spark, str(tmp_path / "x"))
+
+
+def test_drawing(spark):
+    from trama.sources import drawing
+
+    e = spark.createDataFrame([("a<b", "c"), ("c", "d")], "src string, dst string")
+    assert drawing.page(e, "T").count("<circle") == 3 and "a&lt;b" in drawing.page(e, "T")
+    assert drawing.page(e.limit(0), "T").count("<circle") == 0
