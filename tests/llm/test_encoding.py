@@ -49,3 +49,22 @@ def test_frame_nulls_long_repeated_clashing(spark, fix):
     got = encoding.find(df, fix.three, ["id"], "t").collect()
     assert sorted((r["id"], r["restavel"]) for r in got) == [("3", False), ("4", True), ("5", True), ("5", True)]
     assert encoding.find(df.limit(0), fix.three, ["id"], "t").count() == 0
+
+
+def test_one_byte_pairs_restore_every_letter(spark):
+    """Also a letter that no Portuguese word has, if it is the only damaged one."""
+    readings = encoding.one_sign_readings()
+    for c in "ÈÏÑØÄÖ":
+        bad = c.encode("cp1252").decode("cp850")
+        assert bad in encoding.RESTORED or ("cp1252>cp850", c) in readings[bad]
+    df = spark.createDataFrame([(n,) for n in ("Ø GRAUS", "ØSTER", "FRÈRES", "PEÑA", "LAÏS") for _ in range(30)], "t string")
+    fix = encoding.Repairer(encoding.model([df], [["t"]]))
+    for name in ("ØSTER", "FRÈRES"):
+        assert fix(name) == name and fix(name.encode("cp1252").decode("cp850")) == name
+
+
+def test_a_word_with_many_dropped_seconds(spark):
+    df = spark.createDataFrame([("ÁGÁTÁCÁBÁRÁ",)] * 30, "t string")
+    fix = encoding.Repairer(encoding.model([df], [["t"]]))
+    assert fix("ÃGÃTÃCÃBÃRÃ") == "ÁGÁTÁCÁBÁRÁ"
+    assert len(fix("ÃB" * 20_000)) == 40_000  # in time that grows with the length alone

@@ -30,7 +30,7 @@ WRITTEN_IN = ("cp1252", "cp437", "cp850", "mac_roman")
 #: Letters and signs that texts are made of.
 LETTERS = "ÁÂÃÀÄÅÇÉÊÈËÍÎÌÏÑÓÔÕÒÖÚÛÙÜÝáâãàäåçéêèëíîìïñóôõòöúûùüýÿßœŒæÆøØ"
 SIGNS = "ªº°§¿¡«»–—‘’“”„…•€£©®·´ "
-#: Letters that a one-byte pair may restore.
+#: Letters and signs of Portuguese; a one-byte pair may restore these and all LETTERS.
 RESTORED = "ÁÂÃÀÇÉÊÍÓÔÕÚÜáâãàçéêíóôõúüªº¡"
 #: How much more likely (natural logarithm) the restored word must be where a sign is a letter of
 #: Portuguese, and where it is another.
@@ -81,23 +81,26 @@ def several_sign_sequences() -> dict[str, str]:
     return found
 
 
-def one_sign_readings() -> dict[str, set[str]]:
-    """Sign -> the letters it may stand for, over all pairs of one-byte encodings."""
-    out: dict[str, set[str]] = defaultdict(set)
-    for a in WRITTEN_IN:
-        for b in READ_IN:
+def one_sign_readings() -> dict[str, dict[tuple[str, str], None]]:
+    """Sign -> the (pair, letter) it may stand for, over all pairs of one-byte encodings, likelier ones first.
+
+    RESTORED come first, as read, then in the other case; then the rest of LETTERS as read, but a sign of RESTORED
+    never stands for these: OLÉ isn't OLÈ.
+    """
+    out: dict[str, dict[tuple[str, str], None]] = defaultdict(dict)
+    for letters, cases in ((RESTORED, False), (RESTORED, True), (LETTERS, False)):
+        for a, b, c in product(WRITTEN_IN, READ_IN, letters):
             if a == b or {a, b} == {"latin-1", "cp1252"}:
                 continue
-            for c in RESTORED:
-                try:
-                    s = _read(c.encode(a), b)
-                except UnicodeEncodeError:
-                    continue
-                if s is None or s == c or s.isascii():
-                    continue
-                for x, y in _cases(s, c):
-                    if x != y and not x.isascii():
-                        out[x].add((f"{a}>{b}", y))
+            try:
+                s = _read(c.encode(a), b)
+            except UnicodeEncodeError:
+                continue
+            if s is None or s == c or s.isascii() or (letters is LETTERS and s in RESTORED):
+                continue
+            for x, y in _cases(s, c) if cases else [(s, c)]:
+                if x != y and not x.isascii():
+                    out[x][f"{a}>{b}", y] = None
     return out
 
 
@@ -153,7 +156,15 @@ class Repairer:
     def _score(self, word: str) -> float:
         """Logarithm of the word's likelihood by its triples, backing off to pairs."""
         w = "^" + word.upper() + "$"
-        s = math.log((self.two.get(w[:2], 0) + 0.02) / (self.first + 5))
+        return math.log((self.two.get(w[:2], 0) + 0.02) / (self.first + 5)) + self._steps(w)
+
+    def _near(self, w: list[str], i: int) -> float:
+        """The part of the score that the sign at i takes part in, so that a choice costs the same in a word of any length."""
+        part = ("^" if i < 2 else "") + "".join(w[max(0, i - 2) : i + 3]).upper() + ("$" if i > len(w) - 3 else "")
+        return self._steps(part) + (math.log((self.two.get(part[:2], 0) + 0.02) / (self.first + 5)) if i == 0 else 0.0)
+
+    def _steps(self, w: str) -> float:
+        s = 0.0
         for i in range(len(w) - 2):
             g = w[i : i + 3]
             back = (self.mid.get(g[1:], 0) + 0.02) / (self.one.get(g[1], 0) + 5)
@@ -179,7 +190,7 @@ class Repairer:
             score = self._score(word) + (MARGIN if all(c in RESTORED for c in word if not c.isascii()) else MARGIN_FOREIGN)
         readings = [word.translate({ord(a): b for a, b in table.items()}) for table in pairs.values()]
         for a, letters_ in (("Ã", DROPPED), ("ã", DROPPED.lower())):
-            if 0 < word.count(a) <= 4:
+            if a in word:
                 readings.append(self._choose(word, a, letters_))
         for t in readings:
             new = [b for a, b in zip(word, t) if a != b]
@@ -209,7 +220,7 @@ class Repairer:
                 scored = []
                 for c in letters:
                     w[i] = c
-                    scored.append((self._score("".join(w)), c))
+                    scored.append((self._near(w, i), c))
                 w[i] = max(scored)[1]
         return "".join(w)
 
