@@ -48,7 +48,7 @@ def g_strong_components(spark: SparkSession, d: str) -> DataFrame:
 
 
 def g_levels(spark: SparkSession, d: str) -> DataFrame:
-    """Everything within three hops of the headquarters of the hundredth company by order of number."""
+    """Everything within three hops of the headquarters in DF, as in the SQL; g_levels_sampled takes the whole table."""
     seeds = latest(spark, d).filter("uf = 'DF' and matriz = 1").select(F.concat(F.lit("cnpj:"), "cnpj").alias("id"))
     return graph.levels(_edges(spark, d), seeds, 3).select("origem", "id", "nivel")
 
@@ -58,6 +58,21 @@ def g_bridges(spark: SparkSession, d: str) -> DataFrame:
     return graph.bridges(_best(spark, d), seeds, 4).select("de", "para", "saltos")
 
 
+def _hundredth(spark: SparkSession, d: str) -> DataFrame:
+    """Every establishment of the whole table whose number is divisible by 100."""
+    return latest(spark, d).filter(F.col("cnpj").rlike("^[0-9]*00$")).select(F.concat(F.lit("cnpj:"), "cnpj").alias("id"))
+
+
+def g_levels_sampled(spark: SparkSession, d: str) -> DataFrame:
+    """Everything within three hops of the establishments with numbers divisible by 100, in all states."""
+    return graph.levels(_edges(spark, d), _hundredth(spark, d), 3).select("origem", "id", "nivel")
+
+
+def g_bridges_sampled(spark: SparkSession, d: str) -> DataFrame:
+    """Ways of up to four hops between establishments with numbers divisible by 100, in all states."""
+    return graph.bridges(_best(spark, d), _hundredth(spark, d), 4).select("de", "para", "saltos")
+
+
 def g_merge(spark: SparkSession, d: str) -> DataFrame:
     """Versions of an establishment merged: last value that is there, first name, any headquarters."""
     e = table(spark, d, "estabelecimento").withColumn("seq", F.struct("recebido_em", "carga", "situacao", "email")).withColumn("hq", F.col("matriz") == 1)
@@ -187,7 +202,7 @@ def g_delta(spark: SparkSession, d: str) -> DataFrame:
     return tables.snapshot_delta(old, new, "k", "c")
 
 
-QUERIES = {f.__name__: f for f in (g_confidence, g_degree, g_components, g_strong_components, g_levels, g_bridges, g_merge, g_evidence, g_histogram, g_correlation, g_claims, g_claim_faults, g_ranking, g_block_clusters, g_sequential_clusters, g_domain_clusters, g_anchor_clusters, g_intermediaries, g_shared_partner, g_batches, g_recycled, g_wrong_state, g_wrong_postcode, g_region, g_sanctions, g_delta)}
+QUERIES = {f.__name__: f for f in (g_confidence, g_degree, g_components, g_strong_components, g_levels, g_bridges, g_levels_sampled, g_bridges_sampled, g_merge, g_evidence, g_histogram, g_correlation, g_claims, g_claim_faults, g_ranking, g_block_clusters, g_sequential_clusters, g_domain_clusters, g_anchor_clusters, g_intermediaries, g_shared_partner, g_batches, g_recycled, g_wrong_state, g_wrong_postcode, g_region, g_sanctions, g_delta)}
 
 _OK = "a AS (SELECT origem AS src, destino AS dst, relacao AS relation, CASE WHEN NOT isnan(confianca) THEN confianca END AS c, coletores, observacao, ts FROM aresta WHERE origem <> '' AND destino <> '')"
 _BEST = _OK + ", b AS (SELECT src, dst, relation, max(c) AS c, concat_ws('|', src, relation, dst) AS id FROM a GROUP BY src, dst, relation)"
