@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trama.operators.hot_join import hot_keys, hot_lookup
-from trama.session import Work
+from trama.session import Work, steady
 
 
 def undirected(edges: DataFrame, *keep: str) -> DataFrame:
@@ -30,38 +30,39 @@ def components(edges: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
 
     Each step links a node's larger neighbours, then its smaller ones, to the
     least one; the number of steps grows as the logarithm of the longest path.
-    Null ends are no edges; a self-loop makes a component of one.
+    Null ends are no edges; a self-loop makes a component of one. Nodes that
+    hold many of the edges of a step are spread over slots, told from a sample.
     """
     spark = edges.sparkSession
     work = Work(spark, "stars")
     ok = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u is not null and v is not null")
     nodes = work.save(ok.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "nodes")
-    current = work.save(ok.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    rows = {"n": F.count(F.lit(1)), "mark": F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))}
+    current = work.save(ok.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges", **rows)
+    own = steady(spark)
+    inside = Work(own, "stars")
 
-    def star(e: DataFrame, large: bool) -> DataFrame:
+    def star(e: DataFrame, large: bool, n: int) -> DataFrame:
         both = e if not large else e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        hot = hot_keys(both, "u")
-        j = hot_lookup(both, "u", "v", least, hot)
+        j = hot_lookup(both, "u", "v", least, hot_keys(both, "u", n))
         if large:
             out = j.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         else:
             out = j.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         return out.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
-    mark = None
-    k = 0
-    while True:
-        step = work.save(star(current, True), f"large{k}")
-        nxt = work.save(star(step, False), f"small{k}")
-        work.drop(step)
-        seen = nxt.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        work.drop(current)
-        current, k = nxt, k + 1
-        if seen == mark:
-            break
-        mark = seen
-    return nodes.join(current.select(F.col("u").alias("id"), F.col("v").alias("root")), "id", "left").select("id", F.coalesce("root", "id").alias("componente"))
+    figures, mark, k = current.figures, None, 0
+    current = inside.load(current, own)
+    while figures["mark"] != mark:
+        mark = figures["mark"]
+        step = inside.save(star(current, True, 2 * figures["n"]), f"large{k}", **rows)
+        nxt = inside.save(star(step, False, step.figures["n"]), f"small{k}", **rows)
+        inside.drop(step)
+        inside.drop(current)
+        current, figures, k = nxt, nxt.figures, k + 1
+    found = inside.load(current, spark)
+    return nodes.join(found.select(F.col("u").alias("id"), F.col("v").alias("root")), "id", "left").select("id", F.coalesce("root", "id").alias("componente"))
 
 
 def filtered_components(entities: DataFrame, edges: DataFrame, edge_ok: Column, node_ok: Column) -> DataFrame:

@@ -2,8 +2,8 @@
 
 Intermediate results that cut lineage are written as Parquet below the folder
 that the cluster names in ``spark.checkpoint.dir``; every executor can read
-them again after a loss. Only where that setting is absent (tests on one
-machine) a folder of our own is used.
+them again after a loss. Only where that setting is absent on a local master
+(tests on one machine) a folder of our own is used; on a cluster that is an error.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _own_dir: str | None = None
 
@@ -36,7 +36,6 @@ def build(cpus: int | str = "*", shuffle_partitions: int = 8, **conf: str) -> Sp
     return spark
 
 
-_HASH_JOIN = "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold"
 _shipped: set[str] = set()
 
 
@@ -53,10 +52,6 @@ def ship(spark: SparkSession) -> None:
         for f in sorted(package.rglob("*.py")):
             z.write(f, f.relative_to(package.parent))
     sc.addPyFile(str(to))
-    # a join whose shuffled partitions all turn out to be small is done by hash, without sorting; the size is checked
-    # at run time, and larger ones keep the sort-merge join
-    if spark.conf.get(_HASH_JOIN, "0b") in ("0", "0b"):
-        spark.conf.set(_HASH_JOIN, "32m")
     _shipped.add(sc.applicationId)
 
 
@@ -65,12 +60,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def steady(spark: SparkSession) -> SparkSession:
+    """A session of our own in the same application for operators that run one small plan many times.
+
+    Its plans are static: re-planning costs more than such a round takes, and a relation to broadcast would be built in
+    the driver. The caller's settings stay as they are. Frames go from one session to the other by ``Work.load``.
+    """
+    own = spark.newSession()
+    for key, value in (("adaptive.enabled", "false"), ("autoBroadcastJoinThreshold", "-1"), ("shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions")), ("session.timeZone", spark.conf.get("spark.sql.session.timeZone"))):
+        own.conf.set(f"spark.sql.{key}", value)
+    return own
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """The folder in ``spark.checkpoint.dir``, or one of our own where it is unset and the master is local."""
     global _own_dir
-    there = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    there = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if there:
         return there.rstrip("/")
+    if not sc.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="trama-work-")
         atexit.register(_remove_local, _own_dir)
@@ -83,29 +93,51 @@ def _remove_local(path: str) -> None:
     shutil.rmtree(path, ignore_errors=True)
 
 
+_works: set[Work] = set()
+
+
+@atexit.register
+def _clear_all() -> None:
+    for work in list(_works):
+        work.clear()
+
+
 class Work:
     """Written intermediate tables of one run of an operator.
 
     ``save`` writes a frame below the shared folder and reads it back, which
-    cuts its lineage; ``drop`` removes a table that nothing reads any more.
+    cuts its lineage; ``load`` reads it in another session; ``drop`` removes a
+    table that nothing reads any more.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
-        atexit.register(self.clear)
         self._n = 0
+        _works.add(self)
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, **figures: Column) -> DataFrame:
+        """df, written. Figures are aggregates over its rows, taken as they are written, and become its ``figures``."""
         self._n += 1
         path = f"{self.root}/{self._n:03d}-{name}"
+        seen = Observation() if figures else None
+        if seen:
+            df = df.observe(seen, *[c.alias(n) for n, c in figures.items()])
         df.write.option("compression", "snappy").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._trama_path = path
+        out.figures = seen.get if seen else {}
+        return out
+
+    def load(self, df: DataFrame, spark: SparkSession) -> DataFrame:
+        """A saved frame as one of another session of the application."""
+        out = spark.read.schema(df.schema).parquet(df._trama_path)
+        out._trama_path = df._trama_path
         return out
 
     def clear(self) -> None:
         """Removes all tables of the run, at the latest as the driver ends."""
+        _works.discard(self)
         try:
             self._delete(self.root)
         except Exception:  # the JVM may have ended before
