@@ -44,12 +44,21 @@ def test_null_empty_repeated_and_reversed(spark):
     assert run(spark, rows) == {"x": "x", "y": "x", "z": "z"}
 
 
-def test_hot_hub_is_spread(spark, monkeypatch):
-    from trama.operators import hot_join
+def test_hub_with_a_third_of_all_links(spark):
+    rng = random.Random(3)
+    pairs = [("hub", f"h{i:04d}") for i in range(700)] + [(f"r{rng.randrange(900):03d}", f"r{rng.randrange(900):03d}") for _ in range(600)]
+    pairs += [(f"c{i:03d}", f"c{i + 1:03d}") for i in range(400)] + [("c017", "h0003")]
+    rows = spark.createDataFrame(pairs, "v string, w string")
+    assert components.hot_keys(rows, "v") == ["hub"]
+    assert run(spark, pairs) == union_find(pairs)
+
 
-    monkeypatch.setattr(hot_join.hot_keys, "__defaults__", (None, 1 / 256, 20))
-    pairs = [("hub", f"h{i:03d}") for i in range(300)] + [("a", "b"), ("b", "c")]
+def test_a_long_chain_takes_few_levels(spark, monkeypatch):
+    seen, plain = [], components._level
+    monkeypatch.setattr(components, "_level", lambda *a: seen.append(a[1]) or plain(*a))
+    pairs = [(f"c{i:05d}", f"c{i + 1:05d}") for i in range(3000)]
     assert run(spark, pairs) == union_find(pairs)
+    assert len(seen) <= 6
 
 
 def test_empty_table(spark):
