@@ -67,7 +67,8 @@ def steady(spark: SparkSession) -> SparkSession:
     the driver. The caller's settings stay as they are. Frames go from one session to the other by ``Work.load``.
     """
     own = spark.newSession()
-    for key, value in (("adaptive.enabled", "false"), ("autoBroadcastJoinThreshold", "-1"), ("shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions")), ("session.timeZone", spark.conf.get("spark.sql.session.timeZone"))):
+    # stages that do the same share one compiled class, wherever they stand in a plan
+    for key, value in (("codegen.useIdInClassName", "false"), ("adaptive.enabled", "false"), ("autoBroadcastJoinThreshold", "-1"), ("shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions")), ("session.timeZone", spark.conf.get("spark.sql.session.timeZone"))):
         own.conf.set(f"spark.sql.{key}", value)
     return own
 
