@@ -21,35 +21,27 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trama.llm.bpe import token_counts
+from trama.llm.language import label_language
 from trama.session import Work
 
 #: Rows of a bucket, about.
 BUCKET_ROWS = 4096
 
-#: Domains of the sources known here; others belong to "outros", those without documents stand apart,
-#: so their weight goes to all. A parameter, not a rule.
-DOMAINS = {
-    "oficial": "diario-oficial boletim-mercosul boletim-europa newsletter press-releases circulares".split(),
-    "registral": "certidoes notas-cartorio legado arquivo-morto leiloes minutas contratos convenios".split(),
-    "analise": "atas relint laudos auditoria dossie resumos sinteses pareceres triagem".split(),
-    "correspondencia": "cartas correspondencia memorandos oficios telegramas bilhetes traducoes chamados".split(),
-}
-
-
-def leaf_table(mix: DataFrame, sizes: DataFrame, domains: dict[str, list[str]] | None = None) -> list[dict]:
+def leaf_table(mix: DataFrame, sizes: DataFrame, domains: DataFrame) -> list[dict]:
     """The leaves of all mixtures with their sources' tokens, on the driver: one row of the mixture table each.
 
-    The mixture table is configuration (a few rows); rows with a null or
-    non-positive weight or without a repetition allowed take nothing. A row given
-    twice counts once (the greatest weight and repetitions hold).
+    The mixture table and domains (source, dominio) are configuration (a few rows). Rows with a null or non-positive
+    weight or without a repetition allowed take nothing. A row given twice counts once (the greatest weight and
+    repetitions hold). A source that domains doesn't name is in the domain ""; one without documents stays in its
+    domain, under the language "", and has nothing to give.
     """
-    where = {s: d for d, names in (domains or DOMAINS).items() for s in names}
+    where = domains.filter("source is not null").groupBy("source").agg(F.min("dominio").alias("dominio"))
     m = mix.filter("mistura is not null and source is not null").groupBy("mistura", "source").agg(F.max("peso").alias("peso"), F.max("max_repeticoes").alias("reps"))
-    rows = m.join(sizes, "source", "left").collect()
-    out = []
-    for r in sorted(rows, key=lambda r: (r["mistura"], r["source"])):
-        out.append({"mistura": r["mistura"], "source": r["source"], "dominio": where.get(r["source"], "outros") if r["tokens"] else "sem-documentos", "idioma": r["idioma"] or "", "peso": max(0.0, r["peso"] or 0.0), "reps": max(0, r["reps"] or 0), "tokens": r["tokens"] or 0, "docs": r["docs"] or 0})
-    return out
+    rows = m.join(sizes, "source", "left").join(where, "source", "left").collect()
+    return [
+        {"mistura": r["mistura"], "source": r["source"], "dominio": r["dominio"] or "", "idioma": r["idioma"] or "", "peso": max(0.0, r["peso"] or 0.0), "reps": max(0, r["reps"] or 0), "tokens": r["tokens"] or 0, "docs": r["docs"] or 0}
+        for r in sorted(rows, key=lambda r: (r["mistura"], r["source"]))
+    ]
 
 
 def _share_out(total: float, nodes: list[tuple[float, float]]) -> list[float]:
@@ -74,8 +66,8 @@ def _share_out(total: float, nodes: list[tuple[float, float]]) -> list[float]:
 def budgets(leaves: list[dict], total: float | None = None, levels: tuple[str, ...] = ("dominio", "idioma", "source")) -> list[dict]:
     """The leaves of one mixture with budget, their part of total in tokens.
 
-    total None means the largest at which every source that has tokens gets
-    exactly its share; the weights of sources without tokens go to siblings.
+    total None means all the tokens that the sources hold, each counted once. What a source cannot give at its
+    repetitions goes to the other sources of its language and domain, then of its domain, then to all.
     """
 
     def go(rows: list[dict], amount: float, depth: int) -> None:
@@ -93,26 +85,36 @@ def budgets(leaves: list[dict], total: float | None = None, levels: tuple[str, .
 
     leaves = [dict(r, budget=0.0) for r in leaves]
     if total is None:
-        trial = [dict(r) for r in leaves]
-        for r in trial:  # without limits, to learn the shares that remain when empty sources give way
-            r["reps"] = 10**15 if r["tokens"] * r["reps"] > 0 else 0
-        whole, trial = 1e6, trial
-        keep, leaves_ = leaves, trial
-        go(leaves_, whole, 0)
-        feasible = [k["tokens"] * k["reps"] * whole / t["budget"] for k, t in zip(keep, leaves_) if t["budget"] > 0]
-        total = min(feasible, default=0.0) * (1 - 1e-12)
+        total = float(sum(r["tokens"] for r in leaves if r["peso"] > 0))
     go(leaves, total, 0)
     return leaves
 
 
-def source_sizes(docs: DataFrame) -> DataFrame:
-    """(source, idioma, tokens, docs): a source's tokens, documents with tokens, and most frequent label."""
-    label = F.lower(F.substring(F.coalesce("lang", F.lit("")), 1, 2))
-    by = docs.filter("tokens > 0 and source is not null").groupBy("source", label.alias("idioma")).agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n"))
-    return by.groupBy("source").agg(F.max_by("idioma", F.struct("t", "idioma")).alias("idioma"), F.sum("t").alias("tokens"), F.sum("n").alias("docs"))
+def exact_total(leaves: list[dict]) -> float:
+    """The most tokens at which every source that has any gets exactly its share by budgets(), without a shortage but
+    of those that have none."""
+    open_ = [dict(r, reps=10**12 if r["tokens"] * r["reps"] > 0 else 0) for r in leaves]
+    shares = budgets(open_, 1e6)
+    return min((r["tokens"] * r["reps"] * 1e6 / s["budget"] for r, s in zip(leaves, shares) if s["budget"] > 0), default=0.0) * (1 - 1e-12)
+
+
+def source_sizes(docs: DataFrame, size: str = "tokens") -> DataFrame:
+    """(source, idioma, tokens, docs): a source's tokens, documents with tokens, and the language that labels of most of
+    its tokens name ("" if none does)."""
+    by = docs.filter((F.col(size) > 0) & F.col("source").isNotNull()).groupBy("source", F.coalesce(label_language(F.col("lang")), F.lit("")).alias("idioma")).agg(F.sum(size).alias("t"), F.count(F.lit(1)).alias("n"))
+    return by.groupBy("source").agg(F.max_by("idioma", F.struct(F.col("idioma") != "", F.col("t"), F.col("idioma"))).alias("idioma"), F.sum("t").alias("tokens"), F.sum("n").alias("docs"))
+
 
+def planned(leaves: list[dict], total: float | str | None = None) -> list[dict]:
+    """The leaves of all mixtures with their budgets; total as in select()."""
+    out: list[dict] = []
+    for name in sorted({r["mistura"] for r in leaves}):
+        own = [r for r in leaves if r["mistura"] == name]
+        out += budgets(own, exact_total(own) if total == "exact" else total)
+    return out
 
-def select(documents: DataFrame, mix: DataFrame, total_of: str | None = None, seed: int = 20240607, path: str | None = None) -> tuple[DataFrame, DataFrame]:
+
+def select(documents: DataFrame, mix: DataFrame, domains: DataFrame, total: float | str | None = None, seed: int = 20240607, path: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(uses, shares) of every mixture.
 
     uses: (mistura, source, doc_id, tokens, vezes), a row for each document used,
@@ -120,20 +122,16 @@ def select(documents: DataFrame, mix: DataFrame, total_of: str | None = None, se
     tokens_disponiveis, max_repeticoes, orcamento, tokens, documentos, usos,
     parte), a row for each source named, those without documents with zeros.
 
-    total_of None takes the largest total that meets every share; "all" takes as
-    many tokens as the named sources hold, with shortages shared out. Documents
-    without tokens (null or empty texts) and without source are never used.
+    domains: (source, dominio), the upper level of the tree. total is in tokens of each mixture: None as many as its
+    sources hold, with shortages shared out; a number; "exact" the most at which no share has to give way. Documents
+    without tokens (null or empty texts) and without source are never used. Empty tables give no rows.
     """
     spark = documents.sparkSession
     work = Work(spark, "mixing")
     named = mix.select("source").filter("source is not null").distinct()
     counted = token_counts(documents.join(F.broadcast(named), "source", "left_semi").select("doc_id", "source", "lang", "text"), ["doc_id", "source", "lang"], path=path)
     docs = work.save(counted, "tokens")
-    leaves = leaf_table(mix, source_sizes(docs))
-    plan: list[dict] = []
-    for name in sorted({r["mistura"] for r in leaves}):
-        own = [r for r in leaves if r["mistura"] == name]
-        plan += budgets(own, None if total_of is None else float(sum(r["tokens"] for r in own)))
+    plan = planned(leaf_table(mix, source_sizes(docs), domains), total)
     rows = []
     for r in plan:
         full = min(r["reps"], int(r["budget"] // r["tokens"])) if r["tokens"] else 0
