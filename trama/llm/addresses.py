@@ -228,7 +228,16 @@ def _distance(a: str, b: str, most: int) -> int:
     return min(prev[-1], far)
 
 
-@lru_cache(maxsize=50_000)
+@lru_cache(maxsize=100_000)
+def _letters(word: str) -> int:
+    """The letters that occur, as bits (some letters may share one)."""
+    out = 0
+    for c in word:
+        out |= 1 << (ord(c) & 63)
+    return out
+
+
+@lru_cache(maxsize=1 << 17)
 def likeness(a: str, b: str) -> float:
     """1 equal, 0.9 or 0.8 a slip or two, 0.6 an initial of the other, else 0."""
     if a == b:
@@ -238,7 +247,7 @@ def likeness(a: str, b: str) -> float:
     short = min(len(a), len(b))
     most = 3 if short >= 9 else 2 if short >= 5 else 1
     # each edit changes at most two of the letters that occur
-    if short < 3 or abs(len(a) - len(b)) > most or len(set(a) ^ set(b)) > 2 * most:
+    if short < 3 or abs(len(a) - len(b)) > most or (_letters(a) ^ _letters(b)).bit_count() > 2 * most:
         return 0.0
     d = _distance(a, b, most)
     return 0.0 if d > most else (1.0, 0.9, 0.8, 0.7)[d]
