@@ -8,8 +8,9 @@ for a missing value; the weights of the levels are estimated by
 expectation-maximization over the counts of the level patterns (Fellegi and
 Sunter's model), and pairs whose posterior reaches THRESHOLD and whose streets have a word in common are links.
 
-Spellings that parse alike are one address from the start, so many firms at one
-door are compared once; only the result lists pairs of establishments.
+Spellings that parse alike in every part are compared once, however many firms
+share them; they too get the posterior of their levels. The result is a list of
+linked spellings and their members; only same_place() lists pairs of establishments.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trama.operators.hot_join import hot_keys, in_slots, slot
 from trama.session import Work
 
 THRESHOLD = 0.5
@@ -178,7 +180,7 @@ def sounds(words: str) -> set[str]:
     """Keys of a street: the first and last consonants of its last word, the first of the word before,
     and the beginnings of its first and last word together.
 
-    One slip of the pen spoils at most one of the two keys of the last word.
+    One slip of the pen spoils at most one of the two keys of the last word. A street without any of these has its words.
     """
     w = words.split()
     out = {f"~{w[0][:3]}{w[-1][:1]}"} if len(w) > 1 else set()
@@ -186,7 +188,7 @@ def sounds(words: str) -> set[str]:
         out.update(_sound(w[-1]))
     if len(w) > 1 and len(w[-2]) > 2:
         out.add(_sound(w[-2])[0])
-    return out
+    return out or {f"w{words}"}
 
 
 def _distance(a: str, b: str, most: int) -> int:
@@ -379,45 +381,69 @@ def estimate(patterns: pd.DataFrame, rounds: int = ROUNDS) -> tuple[float, dict,
     return p, m, u, post
 
 
-def candidates(rows: DataFrame, addresses: DataFrame) -> DataFrame:
+def candidates(addresses: DataFrame) -> DataFrame:
     """Pairs of addresses (a < b) of one town and number that share a postal code or a sound, each once.
 
     A block is named by a hash of town, number and key, which keeps what is
     shuffled small; a pair thrown together by equal hashes is dropped by place.
+    Blocks that hold many of the keys are spread over slots.
     """
     cols = ("place", "words", "kind", "district", "postcode")
-    keyed = rows.select(F.explode("keys").alias("k"), "town", "number", "aid").select(F.xxhash64("town", "number", "k").alias("key"), "aid").distinct()
-    ids = keyed.withColumnRenamed("aid", "a").join(keyed.withColumnRenamed("aid", "b"), "key").filter("a < b").select("a", "b").distinct()
-    one = addresses.select(F.col("aid").alias("a"), *[F.col(c).alias(f"{c}_a") for c in cols])
-    two = addresses.select(F.col("aid").alias("b"), *[F.col(c).alias(f"{c}_b") for c in cols])
-    return ids.join(one, "a").join(two, "b").filter("place_a = place_b")
+    keyed = addresses.select(F.explode("keys").alias("k"), "place", "aid").select(F.xxhash64("place", "k").alias("key"), "aid")
+    hot = hot_keys(keyed, "key")
+    one, two = keyed.withColumnRenamed("aid", "a"), keyed.withColumnRenamed("aid", "b")
+    on = ["key"]
+    if hot:
+        one, two, on = one.withColumn("_slot", slot(F.col("key"), hot, F.col("a"))), in_slots(two, "key", hot), ["key", "_slot"]
+    ids = one.join(two, on).filter("a < b").select("a", "b").distinct()
+    left = addresses.select(F.col("aid").alias("a"), *[F.col(c).alias(f"{c}_a") for c in cols])
+    right = addresses.select(F.col("aid").alias("b"), *[F.col(c).alias(f"{c}_b") for c in cols])
+    return ids.join(left, "a").join(right, "b").filter("place_a = place_b")
 
 
-def same_place(establishments: DataFrame, repair=None, threshold: float = THRESHOLD) -> DataFrame:
-    """(cnpj_a, cnpj_b, peso): pairs of different cnpj at the same place, cnpj_a < cnpj_b, with the posterior.
+def _with_itself(addresses: DataFrame) -> DataFrame:
+    """The levels of two establishments whose addresses are spelt alike: every part equal or missing."""
+
+    def part(c: str, agree: Column | int) -> Column:
+        return F.when(F.col(c) == "", -1).otherwise(agree).alias(f"l_{c}")
+
+    return addresses.select(F.col("aid").alias("a"), F.col("aid").alias("b"), F.lit(3).alias("l_street"), part("kind", 1), part("district", 1), part("postcode", F.when(F.col("postcode").endswith("000"), 1).otherwise(2)))
+
+
+def linked_addresses(establishments: DataFrame, repair=None, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """(members, links): members (aid, cnpj) gives each establishment's spellings of its address, links (a, b, w), a <= b,
+    the spellings at the same place with the posterior of the levels at which they agree; a row with a = b says the same
+    of the establishments that share one spelling. No pairs of establishments are listed.
 
-    Rows without cnpj, town or address, or with neither a number nor the mark
-    "without number", are at no known place. Repeated rows count once. Addresses
-    with the same town, number, street type and words are one address (of their
-    districts and postal codes the greatest stands for all) and have weight 1.
-    An empty table gives no rows.
+    A spelling is a town, number, street type, words, district and postal code as parsed. Weights are estimated over all
+    candidate pairs of spellings, each once, so a door with many establishments weighs no more than another. Rows without
+    cnpj, town or address, or with neither a number nor the mark "without number", are at no known place. Repeated rows
+    count once. An empty table gives no rows.
     """
     spark = establishments.sparkSession
     work = Work(spark, "addresses")
     rows = parsed(establishments, repair).filter("number <> '' and words <> ''")
-    rows = work.save(rows.withColumn("aid", F.xxhash64("town", "number", "kind", "words")), "parsed")
-    addresses = rows.groupBy("aid").agg(F.xxhash64(F.first("town"), F.first("number")).alias("place"), F.first("words").alias("words"), F.first("kind").alias("kind"), F.max("district").alias("district"), F.max("postcode").alias("postcode"))
-    compared = work.save(_levels(candidates(rows, addresses)), "compared")
-    # at most 4 x 3 x 3 x 4 patterns
-    patterns = compared.groupBy(*FIELDS).agg(F.count(F.lit(1)).alias("n")).toPandas()
-    members = rows.select("aid", "cnpj").distinct()
-    equal = members.withColumnRenamed("cnpj", "x").join(members.withColumnRenamed("cnpj", "y"), "aid").filter("x < y").select("x", "y", F.lit(1.0).alias("w"))
-    found = equal
+    rows = work.save(rows.withColumn("aid", F.xxhash64("town", "number", "kind", "words", "district", "postcode")), "parsed")
+    addresses = work.save(rows.select("aid", F.xxhash64("town", "number").alias("place"), "words", "kind", "district", "postcode", "keys").dropDuplicates(["aid"]), "spellings")
+    compared = work.save(_levels(candidates(addresses)), "compared")
+    alike = _with_itself(addresses)
+    # at most 4 x 3 x 3 x 4 patterns; those of equal spellings are weighed, not counted
+    patterns = compared.groupBy(*FIELDS).agg(F.count(F.lit(1)).alias("n")).unionByName(alike.select(*FIELDS).distinct().withColumn("n", F.lit(0).cast("bigint"))).groupBy(*FIELDS).agg(F.sum("n").alias("n")).toPandas()
+    weights = []
     if len(patterns):
         _, _, _, post = estimate(patterns)
-        table = patterns.drop(columns="n").astype(int).assign(w=post)
-        weights = spark.createDataFrame(table, ", ".join(f"{f} int" for f in FIELDS) + ", w double").filter((F.col("w") >= threshold) & (F.col("l_street") > 0))
-        links = compared.join(F.broadcast(weights), list(FIELDS)).select("a", "b", "w")
-        linked = links.join(members.select(F.col("aid").alias("a"), F.col("cnpj").alias("x")), "a").join(members.select(F.col("aid").alias("b"), F.col("cnpj").alias("y")), "b")
-        found = equal.unionByName(linked.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "w").filter("x <> y"))
-    return found.groupBy(F.col("x").alias("cnpj_a"), F.col("y").alias("cnpj_b")).agg(F.max("w").alias("peso"))
+        weights = [(*(int(v) for v in row), float(w)) for row, w in zip(patterns[list(FIELDS)].to_numpy(), post)]
+    table = spark.createDataFrame(weights, ", ".join(f"{f} int" for f in FIELDS) + ", w double").filter((F.col("w") >= threshold) & (F.col("l_street") > 0))
+    members = rows.select("aid", "cnpj").distinct()
+    # a spelling of one establishment alone needs no link to itself
+    shared = members.groupBy("aid").agg((F.min("cnpj") < F.max("cnpj")).alias("many")).filter("many").select(F.col("aid").alias("a"))
+    both = compared.unionByName(alike.join(shared, "a", "left_semi").select(*compared.columns))
+    return members, both.join(F.broadcast(table), list(FIELDS)).select("a", "b", "w")
+
+
+def same_place(establishments: DataFrame, repair=None, threshold: float = THRESHOLD) -> DataFrame:
+    """(cnpj_a, cnpj_b, peso): linked_addresses() unfolded into pairs of different cnpj, cnpj_a < cnpj_b, with the posterior."""
+    members, links = linked_addresses(establishments, repair, threshold)
+    x, y = members.select(F.col("aid").alias("a"), F.col("cnpj").alias("x")), members.select(F.col("aid").alias("b"), F.col("cnpj").alias("y"))
+    found = links.join(x, "a").join(y, "b").filter((F.col("x") != F.col("y")) & ((F.col("a") < F.col("b")) | (F.col("x") < F.col("y"))))
+    return found.groupBy(F.least("x", "y").alias("cnpj_a"), F.greatest("x", "y").alias("cnpj_b")).agg(F.max("w").alias("peso"))
