@@ -110,7 +110,7 @@ def p10_documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_segments(spark: SparkSession, d: str) -> DataFrame:
-    return _segments(spark, d).select("doc_id", "par", "lang", "palavras", language.confidence(F.col("bits")).alias("confianca"))
+    return _segments(spark, d).filter("lang is not null").select("doc_id", "par", "lang", "palavras", "confianca")
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_matches, p2_found, p2_sizes, p3_found, p3_restored, p4_found, p4_weights, p8_ids, p9_uses, p9_shares, p9_shares_exact, p9_budgets_chars, p10_found, p10_documents, p10_segments)}
