@@ -16,7 +16,7 @@ gives every sentence its language, so short or unclear pieces follow their
 surroundings.
 
 Confidences weigh all languages and a background (the trees of all languages at
-order BACKGROUND, their chances averaged) by their code lengths, softened by a
+order 1, their chances averaged) by their code lengths, softened by a
 factor that is fitted on labelled documents held out of the training.
 """
 
@@ -36,8 +36,6 @@ LANGUAGES = ("pt", "es", "en", "fr", "it", "de")
 ORDER = 4
 #: Order of the trees that clean the training text.
 CLEANING = 2
-#: Order of the background, which stands for languages that are none of these.
-BACKGROUND = 1
 #: Bits for a change of language between neighbouring sentences.
 SWITCH = 12.0
 #: Labelled documents a language that the model is fitted on, about, and the longest text taken for it.
@@ -181,30 +179,34 @@ class Trees:
             back = shorter[prev.find(keys & np.uint64((1 << 8 * k) - 1))] if prev is not None else np.broadcast_to(shorter, count.shape)
             cost = np.where(count > 0, -np.log2(np.maximum(count, 1) / np.maximum((total + kinds)[own], 1)), escape[own] + back)
             prev, shorter = Rows(keys), cost
-            self.levels.append((prev, self._with_background(cost, k), Rows(above) if k else None, self._with_background(escape, k, True)))
+            self.levels.append((prev, self._wide(cost), Rows(above) if k else None, self._wide(escape)))
+            if k == 1:
+                # the background: of each byte after one byte
+                self.background = np.full(1 << 16, 8.0, np.float32)
+                self.background[keys.astype(np.int64)] = -np.log2(np.mean(np.exp2(-cost), 1))
         self.unseen = np.full(n + 1, 8.0, np.float32)
 
     @staticmethod
-    def _with_background(cost: np.ndarray, k: int, escape: bool = False) -> np.ndarray:
-        """Above its order the background is that of shorter contexts, so there it has neither costs nor escapes."""
-        last = -np.log2(np.mean(np.exp2(-cost), 1)) if k <= BACKGROUND else np.zeros(len(cost))
-        return np.concatenate((cost, last[:, None]), 1).astype(np.float32)
+    def _wide(cost: np.ndarray) -> np.ndarray:
+        """With a column of zeros for the background, whose cost is found elsewhere."""
+        return np.concatenate((cost, np.zeros((len(cost), 1))), 1).astype(np.float32)
 
     def lengths(self, data: np.ndarray) -> np.ndarray:
         """(bytes, languages + 1): bits of each byte."""
-        out = np.zeros((len(data), len(self.unseen)), np.float32)
         gram = grams(data, self.order)
-        open_ = np.arange(len(data))
+        rows, cost, above, escape = self.levels[self.order]
+        at = rows.find(gram)
+        out = cost.take(at, axis=0, mode="clip")
+        open_ = np.flatnonzero(at < 0)
+        out[open_] = 0
         for k in range(self.order, -1, -1):
             rows, cost, above, escape = self.levels[k]
             key = gram[open_] & np.uint64((1 << 8 * (k + 1)) - 1)
-            at = rows.find(key)
-            seen = at >= 0
-            if k == self.order:
-                out[seen] = cost[at[seen]]
-            else:
+            if k < self.order:
+                at = rows.find(key)
+                seen = at >= 0
                 out[open_[seen]] += cost[at[seen]]
-            open_, key = open_[~seen], key[~seen]
+                open_, key = open_[~seen], key[~seen]
             if not len(open_):
                 break
             if above is None:
@@ -213,10 +215,7 @@ class Trees:
                 up = above.find(key >> np.uint64(8))
                 known = up >= 0
                 out[open_[known]] += escape[up[known]]
-        # the background's own cost, at its order everywhere
-        rows, cost, _, escape = self.levels[BACKGROUND]
-        at = rows.find(gram & np.uint64((1 << 8 * (BACKGROUND + 1)) - 1))
-        out[:, -1] = np.where(at >= 0, cost[at, -1], 8.0)
+        out[:, -1] = self.background[(gram & np.uint64(0xFFFF)).astype(np.int64)]
         return out
 
 
@@ -293,9 +292,11 @@ class Detector:
         data, begin = utf8(s)
         cost = self.trees.lengths(data)
         starts = np.concatenate(cuts)
-        sums = np.concatenate((np.zeros((1, cost.shape[1])), np.cumsum(cost, axis=0, dtype=np.float64)))
         ends = np.concatenate((starts[1:], [len(s)]))
-        return meta, counts[ends] - counts[starts], sums[begin[ends]] - sums[begin[starts]]
+        first, last = begin[starts], begin[ends]
+        sums = np.add.reduceat(cost, np.minimum(first, len(data) - 1), axis=0)
+        sums[first == last] = 0
+        return meta, counts[ends] - counts[starts], sums
 
     def path(self, cost: np.ndarray) -> np.ndarray:
         """The language of each sentence on the cheapest path."""
