@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from string import Formatter
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from trama.functions.constants import AREA_STATE, NON_GEOGRAPHIC, SPECIAL
+from trama.functions.constants import AREA_STATE, NON_GEOGRAPHIC, PHONE_PATTERN, SPECIAL, SPELLINGS
 from trama.functions.identifiers import digits, let
 
 
@@ -77,10 +79,6 @@ def formatted(area: Column, subscriber: Column) -> Column:
     return F.when(F.length(subscriber) == 9, nine).otherwise(eight)
 
 
-#: Spellings of one number: %d area, %c subscriber, %a and %b its halves.
-SPELLINGS = ("+55%d%c", "55%d%c", "%d%c", "(%d)%c", "(%d) %a-%b", "(%d)%a-%b", "(%d) %a%b", "%d %a-%b", "%d %a %b", "+55 %d %a-%b", "+55 (%d) %a-%b", "0%d%c", "%a-%b", "%a%b")
-
-
 def spellings(area: Column, subscriber: Column, most: int = 24) -> Column:
     """The plausible spellings, with and without the ninth digit, in order and without repeats."""
     return let(F.struct(area.alias("a"), subscriber.alias("s")), lambda x: _spellings(x["a"], x["s"], most))
@@ -89,20 +87,8 @@ def spellings(area: Column, subscriber: Column, most: int = 24) -> Column:
 def _spellings(area: Column, subscriber: Column, most: int) -> Column:
     def fill(body: Column) -> list[Column]:
         half = F.when(F.length(body) == 9, 5).otherwise(4)
-        values = {"%d": area, "%c": body, "%a": F.substr(body, F.lit(1), half), "%b": F.substr(body, half + 1, F.lit(20))}
-        out = []
-        for s in SPELLINGS:
-            parts, rest = [], s
-            while rest:
-                if rest[:2] in values:
-                    parts.append(values[rest[:2]])
-                    rest = rest[2:]
-                else:
-                    n = min([i for i in (rest.find(k) for k in values) if i > 0] or [len(rest)])
-                    parts.append(F.lit(rest[:n]))
-                    rest = rest[n:]
-            out.append(F.concat(*parts))
-        return out
+        values = {"ddd": area, "c": body, "p1": F.substr(body, F.lit(1), half), "p2": F.substr(body, half + 1, F.lit(20))}
+        return [F.concat(*[x for text, name, _, _ in Formatter().parse(s) for x in ([F.lit(text)] if text else []) + ([values[name]] if name else [])]) for s in SPELLINGS]
 
     first = subscriber.substr(1, 1)
     other = F.when((F.length(subscriber) == 9) & (first == "9"), F.substring(subscriber, 2, 8)).when((F.length(subscriber) == 8) & first.isin("6", "7", "8", "9"), F.concat(F.lit("9"), subscriber))
@@ -110,10 +96,7 @@ def _spellings(area: Column, subscriber: Column, most: int) -> Column:
     return F.when(area.isNotNull() & subscriber.isNotNull(), F.slice(both, 1, most)).otherwise(F.array().cast("array<string>"))
 
 
-PATTERN = r"(?:\+?55[\s.-]?)?(?:\(?[0-9]{2}\)?[\s.-]?)?(?:9[\s.-]?)?[0-9]{4}[\s.-]?[0-9]{4}"
-
-
 def find(text: Column, default_area: str | None = None) -> Column:
     """ARRAY of normalise() for the valid numbers in a text, in order of place, repeats of a key left out."""
-    got = F.filter(F.transform(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), lambda x: normalise(x, default_area)), lambda t: t["valido"])
+    got = F.filter(F.transform(F.regexp_extract_all(text, F.lit(PHONE_PATTERN), F.lit(0)), lambda x: normalise(x, default_area)), lambda t: t["valido"])
     return F.array_distinct(got)

@@ -34,8 +34,10 @@ def name_key(c: Column) -> Column:
     return F.regexp_replace(F.upper(c), "[^A-Z0-9]", "")
 
 
-def mail_domain(c: Column) -> Column:
-    return F.lower(F.substring_index(c, "@", -1))
+def mail_domain(c: Column, leave_out: tuple[str, ...] = ()) -> Column:
+    """The domain in lower case, null for those left out (providers that anyone may use)."""
+    d = F.lower(F.substring_index(c, "@", -1))
+    return F.when(~d.isin(*leave_out), d) if leave_out else d
 
 
 def person_key(name: Column, mask: Column) -> Column:

@@ -86,3 +86,17 @@ def sanctions_in_component(members: DataFrame) -> DataFrame:
     """(componente, sancoes, alvos): components with a sanction and a target; members has componente, kind, is_target."""
     g = members.groupBy("componente").agg(F.count_if(F.col("kind") == "sancao").alias("sancoes"), F.count_if("is_target").alias("alvos"))
     return g.filter("sancoes > 0 and alvos > 0")
+
+
+#: From the gravest on.
+SEVERITIES = ("alta", "media", "baixa", "info")
+
+
+def distinct_findings(findings: DataFrame, *order: str) -> DataFrame:
+    """findings (type, entity_ids, ...), of each type and set of entities the first in order: a finding said twice counts once.
+
+    The entities may come in any order and repeated; ties are settled by the text.
+    """
+    w = Window.partitionBy("type", "_who").orderBy(*order, "text")
+    who = F.array_join(F.array_sort("entity_ids"), "\u0001")
+    return findings.withColumn("_who", F.sha2(who, 256)).withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n", "_who")

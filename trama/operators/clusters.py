@@ -34,11 +34,11 @@ def sequential(phones: DataFrame, gap: int = 20) -> DataFrame:
     return g.select(*_cluster("numeracao-sequencial", F.concat_ws("-", "ddd", "a"), F.col("m"), F.lit(0.55)))
 
 
-def by_mail_domain(mails: DataFrame) -> DataFrame:
-    """mails (id, value): two or more addresses of one domain; weak where anyone may have one."""
-    m = mails.filter(F.col("value").contains("@")).withColumn("d", F.lower(F.substring_index("value", "@", -1)))
+def by_mail_domain(mails: DataFrame, free: tuple[str, ...] = FREE_MAIL) -> DataFrame:
+    """mails (id, value): two or more addresses of one domain (after the first @); weak where anyone may have one (free)."""
+    m = mails.filter(F.col("value").contains("@")).withColumn("d", F.lower(F.expr("substring(value, instr(value, '@') + 1)")))
     g = m.groupBy("d").agg(F.array_sort(F.collect_set("id")).alias("m")).filter(F.size("m") >= 2)
-    return g.select(*_cluster("dominio-email", F.col("d"), F.col("m"), F.when(F.col("d").isin(*FREE_MAIL), 0.25).otherwise(0.70)))
+    return g.select(*_cluster("dominio-email", F.col("d"), F.col("m"), F.when(F.col("d").isin(*free), 0.25).otherwise(0.70)))
 
 
 def by_anchor(entities: DataFrame, near: DataFrame, kinds: tuple[str, ...] = ("organizacao", "cnpj", "dominio", "endereco", "pessoa")) -> DataFrame:
@@ -49,9 +49,10 @@ def by_anchor(entities: DataFrame, near: DataFrame, kinds: tuple[str, ...] = ("o
     anchors = entities.filter(F.col("kind").isin(*kinds)).select(F.col("id").alias("node"), "kind", "value")
     phones = entities.filter("kind = 'telefone'").select(F.col("id").alias("other"))
     g = near.join(phones, "other", "left_semi").join(anchors, "node").groupBy("node", "kind", "value").agg(F.array_sort(F.collect_set("other")).alias("m"), F.round(F.avg("confidence"), 4).alias("c")).filter(F.size("m") >= 2)
-    return g.select(*_cluster(F.concat(F.lit("ancora-"), "kind"), F.col("value"), F.array_sort(F.array_append("m", F.col("node"))), F.round(F.least(F.lit(0.95), 0.5 + F.col("c") / 2), 4)))
+    return g.select(*_cluster(F.concat(F.lit("ancora-"), "kind"), F.col("value"), F.array_sort(F.array_append("m", F.col("node"))), F.round(F.least(F.lit(0.95), 0.5 + F.col("c") / 2).cast("decimal(8,6)"), 4).cast("double")))
 
 
 def all_clusters(entities: DataFrame, phones: DataFrame, near: DataFrame) -> DataFrame:
+    """The clusters of all kinds; tables.positions() ranks them."""
     mails = entities.filter("kind = 'email'")
     return by_anchor(entities, near).unionByName(sequential(phones)).unionByName(by_mail_domain(mails)).unionByName(by_block(phones))

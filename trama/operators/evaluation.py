@@ -66,12 +66,22 @@ def isotonic(rows: DataFrame, score: str, hit: str) -> list[tuple[float, float]]
     pools: list[list[float]] = []
     for r in g:
         pools.append([r["x"], r["s"], r["n"]])
-        while len(pools) > 1 and pools[-2][1] / pools[-2][2] >= pools[-1][1] / pools[-1][2]:
+        while len(pools) > 1 and pools[-2][1] / pools[-2][2] > pools[-1][1] / pools[-1][2]:
             x, s, n = pools.pop()
             pools[-1] = [x, pools[-1][1] + s, pools[-1][2] + n]
     return [(round(x, 4), round(s / n, 4)) for x, s, n in pools]
 
 
+def apply_steps_column(value: Column, steps: list[tuple[float, float]]) -> Column:
+    """apply_steps() as a column expression; null stays null."""
+    if not steps:
+        return value
+    out = F.lit(steps[-1][1])
+    for limit, fitted in reversed(steps[:-1]):
+        out = F.when(value <= limit, fitted).otherwise(out)
+    return F.when(value.isNotNull(), out)
+
+
 def apply_steps(value: float, steps: list[tuple[float, float]]) -> float:
     """The value of the first step whose limit isn't below; beyond all the last; without steps the input."""
     if not steps:

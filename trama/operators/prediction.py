@@ -8,13 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trama.functions import phones
-from trama.functions.constants import FREE_MAIL
+from trama.functions.constants import FREE_MAIL, LEFT_OUT, REGISTERED
 from trama.operators import clusters, evaluation, expansion, graph
 
-REGISTERED = ("telefone_declarado_por", "telefone_declarado", "mesmo_grupo_cadastral")
-LEFT_OUT = ("faixa", "url", "diario", "documento", "cep", "municipio", "cpf-parcial", "email")
-
-
 def _kind(c: str) -> Column:
     return F.substring_index(c, ":", 1)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trama.session import Work
+
 
 def keep_last(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last row of each key by order; ties by all columns, so the result is one whatever the sequence."""
@@ -80,3 +82,31 @@ def rarity_links(establishments: DataFrame) -> DataFrame:
     """(phone, cnpj, raizes, situacao): every declared telephone with the number of companies that declare it."""
     e = phone_rows(establishments).select("phone", "cnpj", "situacao").distinct()
     return e.join(roots_per_phone(establishments), "phone")
+
+
+#: The orders in which results are given: descending where marked by "-". A tie has an order too, by the last columns.
+ORDERS = {
+    "clusters": ("-forca", "tipo", "chave"),
+    "correlation": ("-confidence", "entidade", "relation", "vinculada_a", "tipo_vinculo"),
+    "claims": ("-confianca", "id"),
+    "bridges": ("saltos", "-elo_mais_fraco", "de", "para"),
+    "components": ("-tamanho", "componente"),
+}
+
+
+def positions(rows: DataFrame, *order: str) -> DataFrame:
+    """rows with posicao, from 1, in the order of the columns named ("-" descending; nulls last).
+
+    Rows are sorted by ranges over all tasks and written; only the number of rows of each range comes to the driver.
+    """
+    work = Work(rows.sparkSession, "positions")
+    by = [F.col(c[1:]).desc_nulls_last() if c[0] == "-" else F.col(c).asc_nulls_last() for c in order]
+    ranged = work.save(rows.orderBy(*by).withColumn("_m", F.monotonically_increasing_id()), "sorted")
+    part, inside = F.shiftrightunsigned("_m", 33), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = sorted((r["p"], r["n"]) for r in ranged.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
+    before, offsets = 0, []
+    for p, n in sizes:
+        offsets.append((p, before))
+        before += n
+    table = rows.sparkSession.createDataFrame(offsets, "_p bigint, _before bigint")
+    return ranged.withColumn("_p", part).join(F.broadcast(table), "_p").withColumn("posicao", F.col("_before") + inside + 1).drop("_m", "_p", "_before")

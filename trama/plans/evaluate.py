@@ -8,18 +8,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trama.functions import text
+from trama.functions.constants import BENCHMARK_FREE_MAIL
 from trama.operators import evaluation, graph, tables
 from trama.plans.registry import E, P, latest
 from trama.session import table
 from trama.streaming.registry import sessions, windowed_counts
 
 
+#: The providers that anyone may use: the fixed ones, and those of the test tables.
+_FREE = (*BENCHMARK_FREE_MAIL, "correiolivre.test", "webcarta.test", "mailgratis.test", "caixapostal.test")
+
+
 def _heuristics(spark: SparkSession, d: str) -> DataFrame:
     """(heuristica, cnpj, previsto, real): establishments by what would group them, against their company."""
     e = latest(spark, d)
     keys = {
         "email-exato": F.lower("email"),
-        "dominio-email": F.when(F.col("email").contains("@"), text.mail_domain(F.col("email"))),
+        "dominio-email": F.when(F.col("email").contains("@"), text.mail_domain(F.col("email"), _FREE)),
         "endereco": F.concat_ws("|", "uf", "municipio", text.name_key(F.col("logradouro"))),
         "nome-fantasia": text.name_key(F.regexp_replace("nome_fantasia", "ß", "SS")),
         "telefone-compartilhado": F.col("e164_1"),
@@ -73,6 +78,13 @@ def v_isotonic(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(steps, "limite double, valor double")
 
 
+def v_calibrated(spark: SparkSession, d: str) -> DataFrame:
+    """The confidences that occur with what the fit makes of them."""
+    rows = _labelled(spark, d)
+    steps = evaluation.isotonic(rows, "confianca", "certo")
+    return rows.select("confianca").distinct().select("confianca", evaluation.apply_steps_column(F.col("confianca"), steps).alias("calibrada"))
+
+
 def v_content_hash(spark: SparkSession, d: str) -> DataFrame:
     return graph.content_hash(table(spark, d, "aresta").select("origem", "relacao", "destino"), "origem", "relacao", "destino")
 
@@ -102,10 +114,11 @@ def v_worlds(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.mean_and_spread(prediction.evaluate(edges, truth), ["heuristica"], ["precisao", "revocacao", "f1"])
 
 
-QUERIES = {f.__name__: f for f in (v_heuristics, v_best, v_spread, v_pruned, v_reliability, v_calibration_error, v_isotonic, v_content_hash, v_worlds, s_sessions, s_windows, s_sliding)}
+QUERIES = {f.__name__: f for f in (v_heuristics, v_best, v_spread, v_pruned, v_reliability, v_calibration_error, v_isotonic, v_calibrated, v_content_hash, v_worlds, s_sessions, s_windows, s_sliding)}
 
-_KEYS = """h AS (SELECT 'email-exato' AS heuristica, cnpj, uf, lower(email) AS previsto, cnpj_basico AS r FROM e
-  UNION ALL SELECT 'dominio-email', cnpj, uf, CASE WHEN email LIKE '%@%' THEN lower(string_split(email, '@')[-1]) END, cnpj_basico FROM e
+_OPEN = "(" + ", ".join(f"'{x}'" for x in _FREE) + ")"
+_KEYS = f"""h AS (SELECT 'email-exato' AS heuristica, cnpj, uf, lower(email) AS previsto, cnpj_basico AS r FROM e
+  UNION ALL SELECT 'dominio-email', cnpj, uf, CASE WHEN email LIKE '%@%' AND lower(string_split(email, '@')[-1]) NOT IN {_OPEN} THEN lower(string_split(email, '@')[-1]) END, cnpj_basico FROM e
   UNION ALL SELECT 'endereco', cnpj, uf, concat_ws('|', uf, municipio, regexp_replace(upper(replace(logradouro, 'ß', 'SS')), '[^A-Z0-9]', '', 'g')), cnpj_basico FROM e
   UNION ALL SELECT 'nome-fantasia', cnpj, uf, regexp_replace(upper(replace(nome_fantasia, 'ß', 'SS')), '[^A-Z0-9]', '', 'g'), cnpj_basico FROM e
   UNION ALL SELECT 'telefone-compartilhado', cnpj, uf, e164_1, cnpj_basico FROM e
@@ -134,6 +147,11 @@ SQL = {
     "v_pruned": f"WITH {P}, m AS (SELECT phone FROM p GROUP BY phone HAVING count(DISTINCT cnpj_basico) >= 4), i2 AS (SELECT 'todos' AS heuristica, cnpj, e164_1 AS previsto, cnpj_basico AS r FROM e UNION ALL SELECT 'podado', cnpj, e164_1, cnpj_basico FROM e WHERE e164_1 IS NULL OR e164_1 NOT IN (SELECT phone FROM m)), {_metrics('heuristica', 'i2').replace('p AS (', 'pz AS (', 1).replace('LEFT JOIN p USING', 'LEFT JOIN pz USING')} SELECT * FROM z",
     "v_reliability": f"WITH {_RELIABLE} SELECT * FROM b WHERE faixa IS NOT NULL",
     "v_calibration_error": f"WITH {_RELIABLE} SELECT round(coalesce(sum(n * abs(confianca_media - precisao_observada)) / sum(n), 0), 4) AS ece FROM b WHERE faixa IS NOT NULL",
+    # the fit at x is the greatest, over starts up to x, of the least mean of the runs from there to x or beyond
+    "v_calibrated": f"""WITH {_LABELLED}, g AS (SELECT round(c, 4) AS x, sum(k::INTEGER)::DOUBLE AS s, count(*) AS n FROM l GROUP BY 1),
+      r AS (SELECT a.x AS i, b.x AS j, (SELECT sum(s) / sum(n) FROM g WHERE g.x BETWEEN a.x AND b.x) AS m FROM g a JOIN g b ON b.x >= a.x),
+      f AS (SELECT x, max(low) AS v FROM (SELECT g.x, r.i, min(r.m) AS low FROM g JOIN r ON r.i <= g.x AND r.j >= g.x GROUP BY g.x, r.i) GROUP BY x)
+      SELECT DISTINCT c AS confianca, round(v, 4) AS calibrada FROM l JOIN f ON f.x = round(c, 4)""",
     "s_sessions": f"WITH {_SESSION} SELECT user_id, min(ts) AS inicio, max(ts) + INTERVAL 30 MINUTE AS fim, count(*) AS n FROM s GROUP BY user_id, k",
     "s_windows": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS inicio, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS fim, event_type, count(*) AS n FROM events GROUP BY 1, 2, 3",
     "s_sliding": "WITH b AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS h, event_type FROM events), w AS (SELECT h AS inicio, event_type FROM b UNION ALL SELECT h - INTERVAL 1 HOUR, event_type FROM b) SELECT inicio, inicio + INTERVAL 2 HOUR AS fim, event_type, count(*) AS n FROM w GROUP BY inicio, event_type",

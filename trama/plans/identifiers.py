@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trama.functions import identifiers as ids
+from trama.functions.constants import SPELLINGS
 from trama.functions import phones, scoring, text
 from trama.plans import sqltext as q
 from trama.session import table
@@ -151,6 +152,9 @@ _N15 = "(substr('12789', (o_orderkey % 5 + 1)::INTEGER, 1) || b || lpad((o_order
 _MONTHS = "['janeiro','fevereiro','março','abril','maio','junho','julho','agosto','setembro','outubro','novembro','dezembro']"
 _VOTER = "(CASE substr(t, 9, 2) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in q.VOTER_STATE.items()) + " END)"
 
+#: The fixed spellings as SQL: {x} becomes a column.
+_SPELT = ", ".join("'" + x.replace("{", "' || ").replace("}", " || '") + "'" for x in SPELLINGS)
+
 SQL = {
     "f_cnpj": f"SELECT cnpj, coalesce({q.cnpj_valid('s')}, false) AS valido, left(s, 8) AS raiz, substr(s, 9, 4) = '0001' AS matriz, regexp_matches(s, '[A-Z]') AS alfanumerico, CASE WHEN length(s) = 14 THEN substr(s,1,2) || '.' || substr(s,3,3) || '.' || substr(s,6,3) || '/' || substr(s,9,4) || '-' || substr(s,13,2) ELSE cnpj END AS formatado FROM (SELECT DISTINCT cnpj, {q.cnpj_clean('cnpj')} AS s FROM estabelecimento)",
     "f_cpf": f"SELECT o_orderkey, c AS cpf, {q.cpf_valid('c')} AS valido, {q.cpf_valid('n')} AS chave_valida, substr(c,1,3) || '.' || substr(c,4,3) || '.' || substr(c,7,3) || '-' || substr(c,10,2) AS formatado, '***.' || substr(c,4,3) || '.' || substr(c,7,3) || '-**' AS mascara, array_to_string({q.region('substr(c, 9, 1)')}, ',') AS regiao FROM (SELECT o_orderkey, n, b || {q.cpf_check('b')} AS c FROM {_MADE.format(size=11)})",
@@ -169,8 +173,15 @@ SQL = {
         substr(b, 10, 10)::BIGINT / 100 AS valor, fator, concat_ws(',', CASE WHEN fator > 0 THEN (DATE '1997-10-07' + fator)::VARCHAR END, CASE WHEN fator >= 1000 THEN (DATE '2025-02-22' + (fator - 1000))::VARCHAR END) AS vencimentos FROM l""",
     "f_payment_key": f"SELECT valor, {q.payment_kind('trim(valor)')} AS tipo FROM (SELECT valor FROM chave UNION SELECT cnpj FROM estabelecimento) WHERE valor IS NOT NULL",
     "f_postcode": f"SELECT cep, {q.postcode_state('d')} IS NOT NULL AS valido, {q.postcode_state('d')} AS uf, CASE WHEN length(d) = 8 THEN left(d, 5) || '-' || substr(d, 6) ELSE cep END AS formatado FROM (SELECT DISTINCT cep, {q.digits('cep')} AS d FROM estabelecimento)",
+    "f_spellings": f"""WITH v AS (SELECT DISTINCT e164_1 FROM estabelecimento WHERE e164_1 IS NOT NULL), t AS (SELECT e164_1, substr(e164_1, 4, 2) AS ddd, substr(e164_1, 6) AS s FROM v
+        WHERE regexp_full_match(e164_1, '\\+55[0-9]{{10,11}}') AND {q.area_state('substr(e164_1, 4, 2)')} IS NOT NULL),
+      b AS (SELECT *, s AS c FROM t UNION ALL SELECT *, CASE WHEN length(s) = 9 THEN substr(s, 2) ELSE '9' || s END FROM t WHERE (length(s) = 9 AND s[1] = '9') OR (length(s) = 8 AND s[1] IN ('6', '7', '8', '9'))),
+      h AS (SELECT *, substr(c, 1, CASE WHEN length(c) = 9 THEN 5 ELSE 4 END) AS p1, substr(c, CASE WHEN length(c) = 9 THEN 6 ELSE 5 END) AS p2 FROM b),
+      g AS (SELECT e164_1, ddd, s, row_number() OVER (PARTITION BY e164_1, c = s) + CASE WHEN c = s THEN 0 ELSE 100 END AS k, grafia FROM (SELECT *, unnest([{_SPELT}]) AS grafia FROM h)),
+      r AS (SELECT e164_1, ddd, s, grafia, row_number() OVER (PARTITION BY e164_1 ORDER BY min(k)) AS n FROM g GROUP BY e164_1, ddd, s, grafia)
+      SELECT e164_1, CASE WHEN length(s) = 9 THEN '(' || ddd || ') ' || s[1] || ' ' || substr(s, 2, 4) || '-' || substr(s, 6) ELSE '(' || ddd || ') ' || substr(s, 1, 4) || '-' || substr(s, 5) END AS formatado, grafia FROM r WHERE n <= 24""",
     "f_phone": q.phone_rows("(SELECT DISTINCT valor FROM chave WHERE tipo = 'telefone')", "trim(valor)", "valor"),
-    "f_find_phones": f"""SELECT DISTINCT doc_id, chave, tipo FROM ({q.phone_rows("(SELECT doc_id, unnest(regexp_extract_all(text, '" + phones.PATTERN + "')) AS m FROM documents)", 'm', 'doc_id')}) WHERE valido""",
+    "f_find_phones": f"""SELECT DISTINCT doc_id, chave, tipo FROM ({q.phone_rows("(SELECT doc_id, unnest(regexp_extract_all(text, '" + phones.PHONE_PATTERN + "')) AS m FROM documents)", 'm', 'doc_id')}) WHERE valido""",
     "f_find_mails": "SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9._%+-]+@[a-z0-9-]+(?:\\.[a-z0-9-]+)+')) AS email FROM documents",
     "f_dates": f"SELECT v, d AS data, day(d)::VARCHAR || ' de ' || {_MONTHS}[month(d)] || ' de ' || year(d)::VARCHAR AS extenso FROM (SELECT v, {q.flexible_date('v')} AS d FROM (SELECT inicio AS v FROM estabelecimento UNION SELECT entrada FROM socio))",
     "f_grade": """WITH g AS (SELECT DISTINCT substr('ABCDEFXa', (o_orderkey % 8 + 1)::INTEGER, 1) || substr('1234567', ((o_orderkey // 8) % 7 + 1)::INTEGER, 1) AS grau FROM orders),

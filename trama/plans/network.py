@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trama.functions import phones, scoring, text
+from trama.functions.constants import FREE_MAIL
 from trama.functions.identifiers import cpf_region, digits, postcode_state
 from trama.operators import analyzers, claims, clusters, graph, tables
 from trama.plans.registry import E, P, latest
@@ -132,15 +133,41 @@ def g_sequential_clusters(spark: SparkSession, d: str) -> DataFrame:
     return _short(clusters.sequential(_phones(spark, d)))
 
 
+#: Providers of the test tables that anyone may use.
+_FREE_HERE = ("correiolivre.test", "webcarta.test", "mailgratis.test", "caixapostal.test")
+
+
 def g_domain_clusters(spark: SparkSession, d: str) -> DataFrame:
     m = latest(spark, d).filter("email is not null").select(F.concat(F.lit("email:"), "email").alias("id"), F.col("email").alias("value")).distinct()
-    return clusters.by_mail_domain(m).select("tipo", "chave", F.size("membros").alias("membros"), "forca")
+    return clusters.by_mail_domain(m, (*FREE_MAIL, *_FREE_HERE)).select("tipo", "chave", F.size("membros").alias("membros"), "forca")
 
 
 def g_anchor_clusters(spark: SparkSession, d: str) -> DataFrame:
     e = _best(spark, d).na.fill(0.0, ["confidence"])
     ids = e.select(F.explode(F.array("src", "dst")).alias("id")).distinct().select("id", F.substring_index("id", ":", 1).alias("kind"), F.expr("substring(id, instr(id, ':') + 1)").alias("value"))
-    return clusters.by_anchor(ids, graph.undirected(e, "confidence")).select("tipo", "chave", F.size("membros").alias("membros"))
+    return clusters.by_anchor(ids, graph.undirected(e, "confidence")).select("tipo", "chave", F.size("membros").alias("membros"), F.array_join("membros", ",").alias("lista"), "forca")
+
+
+def g_claims_ranked(spark: SparkSession, d: str) -> DataFrame:
+    return tables.positions(claims.derive(_best(spark, d)).select("id", F.round("confianca", 4).alias("confianca")), *tables.ORDERS["claims"])
+
+
+def g_components_ranked(spark: SparkSession, d: str) -> DataFrame:
+    sizes = g_components(spark, d).groupBy("componente").agg(F.count(F.lit(1)).alias("tamanho"))
+    return tables.positions(sizes, *tables.ORDERS["components"])
+
+
+def g_clusters_ranked(spark: SparkSession, d: str) -> DataFrame:
+    c = g_block_clusters(spark, d).unionByName(g_sequential_clusters(spark, d)).select("tipo", "chave", "forca").unionByName(g_domain_clusters(spark, d).select("tipo", "chave", "forca"))
+    return tables.positions(c, *tables.ORDERS["clusters"])
+
+
+def g_findings(spark: SparkSession, d: str) -> DataFrame:
+    """Lines declared in another state, said once for each line, company and kind."""
+    w = g_wrong_state(spark, d)
+    f = w.select(F.lit("uf").alias("type"), F.concat_ws(" ", "phone", "uf_telefone", "uf").alias("text"), F.array("phone", F.substring("org", 1, 8)).alias("entity_ids"))
+    f = f.unionByName(f.select("type", F.concat(F.lit("~"), "text").alias("text"), F.reverse("entity_ids").alias("entity_ids")))
+    return analyzers.distinct_findings(f).select("type", "text")
 
 
 def _links(spark: SparkSession, d: str) -> DataFrame:
@@ -202,7 +229,7 @@ def g_delta(spark: SparkSession, d: str) -> DataFrame:
     return tables.snapshot_delta(old, new, "k", "c")
 
 
-QUERIES = {f.__name__: f for f in (g_confidence, g_degree, g_components, g_strong_components, g_levels, g_bridges, g_levels_sampled, g_bridges_sampled, g_merge, g_evidence, g_histogram, g_correlation, g_claims, g_claim_faults, g_ranking, g_block_clusters, g_sequential_clusters, g_domain_clusters, g_anchor_clusters, g_intermediaries, g_shared_partner, g_batches, g_recycled, g_wrong_state, g_wrong_postcode, g_region, g_sanctions, g_delta)}
+QUERIES = {f.__name__: f for f in (g_confidence, g_degree, g_components, g_strong_components, g_levels, g_bridges, g_levels_sampled, g_bridges_sampled, g_merge, g_evidence, g_histogram, g_correlation, g_claims, g_claim_faults, g_ranking, g_block_clusters, g_sequential_clusters, g_domain_clusters, g_anchor_clusters, g_claims_ranked, g_components_ranked, g_clusters_ranked, g_findings, g_intermediaries, g_shared_partner, g_batches, g_recycled, g_wrong_state, g_wrong_postcode, g_region, g_sanctions, g_delta)}
 
 _OK = "a AS (SELECT origem AS src, destino AS dst, relacao AS relation, CASE WHEN NOT isnan(confianca) THEN confianca END AS c, coletores, observacao, ts FROM aresta WHERE origem <> '' AND destino <> '')"
 _BEST = _OK + ", b AS (SELECT src, dst, relation, max(c) AS c, concat_ws('|', src, relation, dst) AS id FROM a GROUP BY src, dst, relation)"
@@ -244,8 +271,8 @@ SQL = {
     "g_ranking": f"WITH {E}, {_OK}, x AS (SELECT src AS id FROM a UNION ALL SELECT dst FROM a) SELECT id, count(*) AS grau FROM x GROUP BY id ORDER BY grau DESC, id LIMIT 220",
     "g_block_clusters": f"WITH {_TELS} SELECT 'bloco-numeracao' AS tipo, faixa AS chave, count(*)::INTEGER AS membros, string_agg(id, ',' ORDER BY id) AS lista, 0.35::DOUBLE AS forca FROM f GROUP BY faixa HAVING count(*) >= 2",
     "g_sequential_clusters": f"WITH {_TELS}, w AS (SELECT *, s::BIGINT - lag(s::BIGINT) OVER (PARTITION BY ddd ORDER BY s::BIGINT, id) > 20 AS far FROM f), i AS (SELECT *, sum(CASE WHEN far THEN 1 ELSE 0 END) OVER (PARTITION BY ddd ORDER BY s::BIGINT, id ROWS UNBOUNDED PRECEDING) AS ilha FROM w) SELECT 'numeracao-sequencial' AS tipo, ddd || '-' || arg_min(s, (s::BIGINT, id)) AS chave, count(*)::INTEGER AS membros, string_agg(id, ',' ORDER BY id) AS lista, 0.55::DOUBLE AS forca FROM i GROUP BY ddd, ilha HAVING count(*) >= 2",
-    "g_domain_clusters": f"WITH {E} SELECT 'dominio-email' AS tipo, lower(string_split(email, '@')[-1]) AS chave, count(DISTINCT email)::INTEGER AS membros, 0.7::DOUBLE AS forca FROM e WHERE email LIKE '%@%' GROUP BY 2 HAVING count(DISTINCT email) >= 2",
-    "g_anchor_clusters": f"WITH {_BEST}, n AS (SELECT src AS x, dst AS y, coalesce(c, 0) AS c FROM b UNION ALL SELECT dst, src, coalesce(c, 0) FROM b) SELECT 'ancora-cnpj' AS tipo, substr(x, 6) AS chave, (count(DISTINCT y) + 1)::INTEGER AS membros FROM n WHERE split_part(x, ':', 1) = 'cnpj' AND split_part(y, ':', 1) = 'telefone' GROUP BY x HAVING count(DISTINCT y) >= 2",
+    "g_domain_clusters": f"WITH {E} SELECT 'dominio-email' AS tipo, lower(substr(email, instr(email, '@') + 1)) AS chave, count(DISTINCT email)::INTEGER AS membros, CASE WHEN lower(substr(email, instr(email, '@') + 1)) IN {(*FREE_MAIL, *_FREE_HERE)} THEN 0.25 ELSE 0.7 END::DOUBLE AS forca FROM e WHERE email LIKE '%@%' GROUP BY 2 HAVING count(DISTINCT email) >= 2",
+    "g_anchor_clusters": f"WITH {_BEST}, n AS (SELECT src AS x, dst AS y, coalesce(c, 0) AS c FROM b UNION ALL SELECT dst, src, coalesce(c, 0) FROM b) SELECT 'ancora-cnpj' AS tipo, substr(x, 6) AS chave, (count(DISTINCT y) + 1)::INTEGER AS membros, array_to_string(list_sort(list_append(list(DISTINCT y), x)), ',') AS lista, round(least(0.95, 0.5 + round(avg(c), 4) / 2)::DECIMAL(8, 6), 4)::DOUBLE AS forca FROM n WHERE split_part(x, ':', 1) = 'cnpj' AND split_part(y, ':', 1) = 'telefone' GROUP BY x HAVING count(DISTINCT y) >= 2",
     "g_intermediaries": f"WITH {_LINKS}, m AS (SELECT kind, anchor, count(DISTINCT org) AS empresas FROM k GROUP BY kind, anchor HAVING count(DISTINCT org) >= 4), c AS (SELECT DISTINCT kind, anchor FROM (SELECT kind, anchor, person FROM (SELECT DISTINCT kind, anchor, org, root FROM k) JOIN q USING (root) GROUP BY ALL HAVING count(DISTINCT org) >= 2)) SELECT m.* FROM m ANTI JOIN c ON c.kind = m.kind AND c.anchor = m.anchor",
     "g_shared_partner": f"WITH {_LINKS} SELECT DISTINCT kind, anchor FROM (SELECT kind, anchor, person FROM k JOIN q USING (root) GROUP BY kind, anchor, person HAVING count(DISTINCT root) >= 2)",
     "g_batches": f"""WITH {_LINKS}, r AS (SELECT kind, anchor, root, min(opened) AS opened FROM k WHERE opened IS NOT NULL GROUP BY kind, anchor, root),
@@ -262,3 +289,7 @@ SQL = {
     "g_sanctions": f"WITH RECURSIVE {E}, {_OK}, {_components_sql('a')} SELECT m AS componente, count(*) FILTER (situacao = '08') AS sancoes, count(*) FILTER (matriz = 1) AS alvos FROM g JOIN e ON v = 'cnpj:' || cnpj GROUP BY m HAVING count(*) FILTER (situacao = '08') > 0 AND count(*) FILTER (matriz = 1) > 0",
     "g_delta": f"WITH {_OK}, o AS (SELECT concat_ws('|', src, relation, dst) AS k, coalesce(max(c), 0) AS c FROM a WHERE ts < TIMESTAMP '2025-05-01' GROUP BY 1), n AS (SELECT concat_ws('|', src, relation, dst) AS k, coalesce(max(c), 0) AS c FROM a WHERE ts >= TIMESTAMP '2025-04-01' GROUP BY 1), j AS (SELECT coalesce(o.k, n.k) AS k, o.c AS de, n.c AS para FROM o FULL JOIN n ON o.k = n.k) SELECT k, CASE WHEN de IS NULL THEN 'nova' WHEN para IS NULL THEN 'perdida' ELSE 'alterada' END AS mudanca, de, para FROM j WHERE de IS NULL OR para IS NULL OR abs(para - de) >= 0.05",
 }
+SQL["g_claims_ranked"] = f"SELECT id, confianca, row_number() OVER (ORDER BY confianca DESC NULLS LAST, id) AS posicao FROM ({SQL['g_claims']})"
+SQL["g_components_ranked"] = f"SELECT componente, tamanho, row_number() OVER (ORDER BY tamanho DESC, componente) AS posicao FROM (SELECT componente, count(*) AS tamanho FROM ({SQL['g_components']}) GROUP BY componente)"
+SQL["g_clusters_ranked"] = "SELECT *, row_number() OVER (ORDER BY forca DESC, tipo, chave) AS posicao FROM (" + " UNION ALL ".join(f"SELECT tipo, chave, forca FROM ({SQL[k]})" for k in ("g_block_clusters", "g_sequential_clusters", "g_domain_clusters")) + ")"
+SQL["g_findings"] = f"SELECT 'uf' AS type, min(concat_ws(' ', phone, uf_telefone, uf)) AS text FROM ({SQL['g_wrong_state']}) GROUP BY phone, left(org, 8)"

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trama.functions.constants import SEARCH_NOISE
+
 
 def body(df: DataFrame, source: str) -> DataFrame:
     ok = df.filter((F.col("source") == source) & F.col("status").between(200, 299))
@@ -72,16 +74,13 @@ def archived(df: DataFrame) -> DataFrame:
     return j.filter(g("available") == "true").select("url", g("url").alias("copia"), F.concat_ws("-", F.substring(ts, 1, 4), F.substring(ts, 5, 2), F.substring(ts, 7, 2)).alias("data"))
 
 
-NOISE = ("google.", "bing.", "duckduckgo.", "yandex.", "facebook.com/sharer", "youtube.", "schema.org", "w3.org")
-
-
 def result_links(df: DataFrame, source: str = "web") -> DataFrame:
     """(url, link): links of result pages, redirects decoded, hosts of the engines left out, each once a page."""
     page = body(df, source)
     link = page.select("url", F.explode(F.regexp_extract_all("json", F.lit('href="([^"]+)"'), F.lit(1))).alias("l"))
     hidden = F.regexp_extract("l", r"[?&]uddg=([^&]+)", 1)
     clear = link.withColumn("link", F.when(hidden != "", F.expr("try_url_decode(regexp_extract(l, '[?&]uddg=([^&]+)', 1))")).otherwise(F.col("l")))
-    noise = "|".join(n.replace(".", r"\.") for n in NOISE)
+    noise = "|".join(n.replace(".", r"\.") for n in SEARCH_NOISE)
     return clear.filter(F.col("link").rlike("^https?://") & ~F.col("link").rlike(noise)).select("url", "link").distinct()
 
 
