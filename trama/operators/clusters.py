@@ -48,8 +48,8 @@ def by_anchor(entities: DataFrame, near: DataFrame, kinds: tuple[str, ...] = ("o
     """
     anchors = entities.filter(F.col("kind").isin(*kinds)).select(F.col("id").alias("node"), "kind", "value")
     phones = entities.filter("kind = 'telefone'").select(F.col("id").alias("other"))
-    g = near.join(phones, "other", "left_semi").join(anchors, "node").groupBy("node", "kind", "value").agg(F.array_sort(F.collect_set("other")).alias("m"), F.round(F.avg("confidence"), 4).alias("c")).filter(F.size("m") >= 2)
-    return g.select(*_cluster(F.concat(F.lit("ancora-"), "kind"), F.col("value"), F.array_sort(F.array_append("m", F.col("node"))), F.round(F.least(F.lit(0.95), 0.5 + F.col("c") / 2).cast("decimal(8,6)"), 4).cast("double")))
+    g = near.join(phones, "other", "left_semi").join(anchors, "node").groupBy("node", "kind", "value").agg(F.array_sort(F.collect_set("other")).alias("m"), F.round(F.avg(F.col("confidence").cast("decimal(12,6)")), 4).alias("c")).filter(F.size("m") >= 2)
+    return g.select(*_cluster(F.concat(F.lit("ancora-"), "kind"), F.col("value"), F.array_sort(F.array_append("m", F.col("node"))), F.round(F.least(F.lit(0.95).cast("decimal(8,6)"), (F.lit(0.5) + F.col("c").cast("double") / 2).cast("decimal(8,6)")), 4).cast("double")))
 
 
 def all_clusters(entities: DataFrame, phones: DataFrame, near: DataFrame) -> DataFrame:

@@ -177,7 +177,7 @@ SQL = {
         WHERE regexp_full_match(e164_1, '\\+55[0-9]{{10,11}}') AND {q.area_state('substr(e164_1, 4, 2)')} IS NOT NULL),
       b AS (SELECT *, s AS c FROM t UNION ALL SELECT *, CASE WHEN length(s) = 9 THEN substr(s, 2) ELSE '9' || s END FROM t WHERE (length(s) = 9 AND s[1] = '9') OR (length(s) = 8 AND s[1] IN ('6', '7', '8', '9'))),
       h AS (SELECT *, substr(c, 1, CASE WHEN length(c) = 9 THEN 5 ELSE 4 END) AS p1, substr(c, CASE WHEN length(c) = 9 THEN 6 ELSE 5 END) AS p2 FROM b),
-      g AS (SELECT e164_1, ddd, s, row_number() OVER (PARTITION BY e164_1, c = s) + CASE WHEN c = s THEN 0 ELSE 100 END AS k, grafia FROM (SELECT *, unnest([{_SPELT}]) AS grafia FROM h)),
+      g AS (SELECT e164_1, ddd, s, k0 + CASE WHEN c = s THEN 0 ELSE 100 END AS k, grafia FROM (SELECT *, unnest([{_SPELT}]) AS grafia, unnest(range({len(SPELLINGS)})) AS k0 FROM h)),
       r AS (SELECT e164_1, ddd, s, grafia, row_number() OVER (PARTITION BY e164_1 ORDER BY min(k)) AS n FROM g GROUP BY e164_1, ddd, s, grafia)
       SELECT e164_1, CASE WHEN length(s) = 9 THEN '(' || ddd || ') ' || s[1] || ' ' || substr(s, 2, 4) || '-' || substr(s, 6) ELSE '(' || ddd || ') ' || substr(s, 1, 4) || '-' || substr(s, 5) END AS formatado, grafia FROM r WHERE n <= 24""",
     "f_phone": q.phone_rows("(SELECT DISTINCT valor FROM chave WHERE tipo = 'telefone')", "trim(valor)", "valor"),

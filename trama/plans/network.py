@@ -272,7 +272,7 @@ SQL = {
     "g_block_clusters": f"WITH {_TELS} SELECT 'bloco-numeracao' AS tipo, faixa AS chave, count(*)::INTEGER AS membros, string_agg(id, ',' ORDER BY id) AS lista, 0.35::DOUBLE AS forca FROM f GROUP BY faixa HAVING count(*) >= 2",
     "g_sequential_clusters": f"WITH {_TELS}, w AS (SELECT *, s::BIGINT - lag(s::BIGINT) OVER (PARTITION BY ddd ORDER BY s::BIGINT, id) > 20 AS far FROM f), i AS (SELECT *, sum(CASE WHEN far THEN 1 ELSE 0 END) OVER (PARTITION BY ddd ORDER BY s::BIGINT, id ROWS UNBOUNDED PRECEDING) AS ilha FROM w) SELECT 'numeracao-sequencial' AS tipo, ddd || '-' || arg_min(s, (s::BIGINT, id)) AS chave, count(*)::INTEGER AS membros, string_agg(id, ',' ORDER BY id) AS lista, 0.55::DOUBLE AS forca FROM i GROUP BY ddd, ilha HAVING count(*) >= 2",
     "g_domain_clusters": f"WITH {E} SELECT 'dominio-email' AS tipo, lower(substr(email, instr(email, '@') + 1)) AS chave, count(DISTINCT email)::INTEGER AS membros, CASE WHEN lower(substr(email, instr(email, '@') + 1)) IN {(*FREE_MAIL, *_FREE_HERE)} THEN 0.25 ELSE 0.7 END::DOUBLE AS forca FROM e WHERE email LIKE '%@%' GROUP BY 2 HAVING count(DISTINCT email) >= 2",
-    "g_anchor_clusters": f"WITH {_BEST}, n AS (SELECT src AS x, dst AS y, coalesce(c, 0) AS c FROM b UNION ALL SELECT dst, src, coalesce(c, 0) FROM b) SELECT 'ancora-cnpj' AS tipo, substr(x, 6) AS chave, (count(DISTINCT y) + 1)::INTEGER AS membros, array_to_string(list_sort(list_append(list(DISTINCT y), x)), ',') AS lista, round(least(0.95, 0.5 + round(avg(c), 4) / 2)::DECIMAL(8, 6), 4)::DOUBLE AS forca FROM n WHERE split_part(x, ':', 1) = 'cnpj' AND split_part(y, ':', 1) = 'telefone' GROUP BY x HAVING count(DISTINCT y) >= 2",
+    "g_anchor_clusters": f"WITH {_BEST}, n AS (SELECT src AS x, dst AS y, coalesce(c, 0) AS c FROM b UNION ALL SELECT dst, src, coalesce(c, 0) FROM b) SELECT 'ancora-cnpj' AS tipo, substr(x, 6) AS chave, (count(DISTINCT y) + 1)::INTEGER AS membros, array_to_string(list_sort(list_append(list(DISTINCT y), x)), ',') AS lista, least(9500, 5000 + ((2 * sum(round(c * 10000)::BIGINT) + count(*)) // (2 * count(*)) + 1) // 2) / 10000 AS forca FROM n WHERE split_part(x, ':', 1) = 'cnpj' AND split_part(y, ':', 1) = 'telefone' GROUP BY x HAVING count(DISTINCT y) >= 2",
     "g_intermediaries": f"WITH {_LINKS}, m AS (SELECT kind, anchor, count(DISTINCT org) AS empresas FROM k GROUP BY kind, anchor HAVING count(DISTINCT org) >= 4), c AS (SELECT DISTINCT kind, anchor FROM (SELECT kind, anchor, person FROM (SELECT DISTINCT kind, anchor, org, root FROM k) JOIN q USING (root) GROUP BY ALL HAVING count(DISTINCT org) >= 2)) SELECT m.* FROM m ANTI JOIN c ON c.kind = m.kind AND c.anchor = m.anchor",
     "g_shared_partner": f"WITH {_LINKS} SELECT DISTINCT kind, anchor FROM (SELECT kind, anchor, person FROM k JOIN q USING (root) GROUP BY kind, anchor, person HAVING count(DISTINCT root) >= 2)",
     "g_batches": f"""WITH {_LINKS}, r AS (SELECT kind, anchor, root, min(opened) AS opened FROM k WHERE opened IS NOT NULL GROUP BY kind, anchor, root),
