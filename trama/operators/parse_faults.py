@@ -89,38 +89,55 @@ def parse(raw: DataFrame, id_col: str = "linha_id", line_col: str = "linha") ->
     return raw.select(F.col(id_col).alias("linha_id"), ok.alias("quoted"), F.when(ok, plain).alias("cells")).withColumn("n", F.size("cells"))
 
 
+#: Columns that stand for a record as a whole; they come before the others, as the first reason holds.
+BROKEN, MISCOUNTED = -2, -1
+
+
 def _cells(parsed: DataFrame, layout: Layout) -> DataFrame:
-    """(linha_id, coluna, valor): the cells of complete records that a rule speaks of, one row each."""
+    """(linha_id, coluna, valor): the cells of complete records that a rule speaks of, one row each; of a record with
+    broken quoting or another number of cells one row, with the column BROKEN or MISCOUNTED."""
     wanted = [F.struct(F.lit(i).alias("coluna"), F.element_at("cells", i + 1).alias("valor")) for i, _ in layout.rules]
-    return parsed.filter(F.col("quoted") & (F.col("n") == layout.width)).select("linha_id", F.explode(F.array(*wanted)).alias("c")).select("linha_id", "c.*")
+    whole = lambda k: F.array(F.struct(F.lit(k).alias("coluna"), F.lit("").alias("valor")))
+    cells = F.when(~F.col("quoted"), whole(BROKEN)).when(F.col("n") != layout.width, whole(MISCOUNTED)).otherwise(F.array(*wanted))
+    return parsed.select("linha_id", F.explode(cells).alias("c")).select("linha_id", "c.*")
 
 
 def rule_table(spark, layout: Layout) -> DataFrame:
-    return spark.createDataFrame([(i, r) for i, r in layout.rules], "coluna int, regra string")
+    """(coluna, regra): the rules of cells, and those of whole records, which nothing passes."""
+    return spark.createDataFrame([(BROKEN, "aspas"), (MISCOUNTED, "colunas"), *layout.rules], "coluna int, regra string")
 
 
-def cell_errors(parsed: DataFrame, layout: Layout) -> DataFrame:
-    """(linha_id, coluna, regra, valor): every value that breaks its rule."""
+def _errors(parsed: DataFrame, layout: Layout) -> DataFrame:
     # the rule table is a constant of a few rows
     j = _cells(parsed, layout).join(F.broadcast(rule_table(parsed.sparkSession, layout)), "coluna")
-    broken = None
+    broken = F.col("coluna") < 0
     for name in sorted({r for _, r in layout.rules}):
         test = (F.col("regra") == name) & ~F.coalesce(RULES[name](F.col("valor")), F.lit(False))
-        broken = test if broken is None else broken | test
+        broken = broken | test
     return j.filter(broken).select("linha_id", "coluna", "regra", "valor")
 
 
+def cell_errors(parsed: DataFrame, layout: Layout) -> DataFrame:
+    """(linha_id, coluna, regra, valor): every value that breaks its rule."""
+    return _errors(parsed, layout).filter("coluna >= 0")
+
+
 def faults(raw: DataFrame, layout: Layout) -> DataFrame:
     """(tabela, linha_id, motivo, erros): one row for each record at fault.
 
     motivo is the first that holds of aspas, colunas, valor; erros lists the
     broken rules as "cN:rule" in order of column (empty for the first two).
     """
-    parsed = parse(raw)
-    shape = parsed.filter(~F.col("quoted") | (F.col("n") != layout.width)).select("linha_id", F.when(~F.col("quoted"), "aspas").otherwise("colunas").alias("motivo"), F.array().cast("array<string>").alias("erros"))
-    values = cell_errors(parsed, layout).groupBy("linha_id").agg(F.transform(F.array_sort(F.collect_set(F.struct("coluna", "regra"))), lambda s: F.concat(F.lit("c"), s["coluna"].cast("string"), F.lit(":"), s["regra"])).alias("erros"))
-    both = shape.unionByName(values.select("linha_id", F.lit("valor").alias("motivo"), "erros"))
-    return both.select(F.lit(layout.table).alias("tabela"), "linha_id", "motivo", "erros")
+    found = F.array_sort(F.collect_set(F.struct("coluna", "regra")))
+    by = _errors(parse(raw), layout).groupBy("linha_id").agg(found.alias("e"))
+    whole = F.element_at("e", 1)["coluna"] < 0
+    said = F.transform("e", lambda s: F.concat(F.lit("c"), s["coluna"].cast("string"), F.lit(":"), s["regra"]))
+    return by.select(
+        F.lit(layout.table).alias("tabela"),
+        "linha_id",
+        F.when(whole, F.element_at("e", 1)["regra"]).otherwise("valor").alias("motivo"),
+        F.when(whole, F.array().cast("array<string>")).otherwise(said).alias("erros"),
+    )
 
 
 def valid_rows(raw: DataFrame, layout: Layout) -> DataFrame:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trama.session import Work
+
 
 def blank_to_null(c: Column) -> Column:
     t = F.regexp_replace(c, r"^\s+|\s+$", "")
@@ -72,14 +74,14 @@ def keyed_hashes(rows: DataFrame, group: list[str], key: str, order: str, conten
     return rows.filter(F.col(key).isNotNull()).groupBy(*group, key).agg(F.max(F.struct(F.col(order), row.alias("r"))).alias("_m")).select(*group, key, "_m.r.*")
 
 
-def diff(hashed: DataFrame, key: str, last: DataFrame) -> DataFrame:
+def diff(hashed: DataFrame, key: str, last: int) -> DataFrame:
     """(ordem, key, mudanca, de, para) between the snapshots ordem - 1 and ordem.
 
-    hashed has ordem, key, h1, h2, situacao; last is one row with the greatest ordem.
+    hashed has ordem, key, h1, h2, situacao; last is the greatest ordem.
     The first snapshot yields nothing; an empty input yields nothing.
     """
     cur = hashed.filter(F.col("ordem") > 0)
-    old = hashed.join(F.broadcast(last), F.col("ordem") < F.col("_last")).select((F.col("ordem") + 1).alias("ordem"), key, F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.col("situacao").alias("de"))
+    old = hashed.filter(F.col("ordem") < last).select((F.col("ordem") + 1).alias("ordem"), key, F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.col("situacao").alias("de"))
     j = cur.join(old, ["ordem", key], "full_outer")
     kind = F.when(F.col("o1").isNull(), "added").when(F.col("h1").isNull(), "removed").when((F.col("h1") != F.col("o1")) | (F.col("h2") != F.col("o2")), "changed")
     return j.select("ordem", key, kind.alias("mudanca"), "de", F.col("situacao").alias("para")).filter("mudanca is not null")
@@ -98,7 +100,7 @@ def registry_changes(snap: DataFrame, meta: DataFrame) -> DataFrame:
     rows = snap.select("carga", "linha", canonical_cnpj(F.col("cnpj")).alias("cnpj"), *[c.alias(n) for n, c in content.items()])
     # one row a month, and one row: bounded by the months delivered
     placed = rows.join(F.broadcast(months.select("carga", "ordem")), "carga")
-    hashed = keyed_hashes(placed, ["ordem"], "cnpj", "linha", {n: F.col(n) for n in content})
-    last = months.agg(F.max("ordem").alias("_last"))
-    out = diff(hashed, "cnpj", last)
+    # written once, for it is read as the snapshot of a month and as the one before the next
+    hashed = Work(snap.sparkSession, "snapshots").save(keyed_hashes(placed, ["ordem"], "cnpj", "linha", {n: F.col(n) for n in content}), "hashed", last=F.coalesce(F.max("ordem"), F.lit(0)))
+    out = diff(hashed, "cnpj", hashed.figures["last"])
     return out.join(F.broadcast(months.select("ordem", "mes")), "ordem").select("mes", "cnpj", "mudanca", "de", "para")
